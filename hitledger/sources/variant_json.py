@@ -1,0 +1,60 @@
+"""Typed reads from a parsed JSON line held as a variant.
+
+The strict readers ignore values of another JSON type (a number where text is expected reads as
+''); the lenient ones also accept numbers written as text.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def path(*keys: str) -> str:
+    return "$" + "".join(f"['{k}']" for k in keys)
+
+
+def node(doc: Column, where: str) -> Column:
+    """The value itself; a JSON null is a value here, an absent key is not."""
+    return F.try_variant_get(doc, where, "variant")
+
+
+def present(doc: Column, where: str) -> Column:
+    return node(doc, where).isNotNull()
+
+
+def kind(doc: Column, where: str) -> Column:
+    return F.coalesce(F.schema_of_variant(node(doc, where)), F.lit(""))
+
+
+def is_object(doc: Column, where: str) -> Column:
+    return F.startswith(kind(doc, where), F.lit("OBJECT"))
+
+
+def text(doc: Column, where: str) -> Column:
+    return F.when(kind(doc, where) == "STRING", F.try_variant_get(doc, where, "string")).otherwise("")
+
+
+def number(doc: Column, where: str) -> Column:
+    readable = ~kind(doc, where).isin("STRING", "BOOLEAN")
+    return F.coalesce(F.when(readable, F.try_variant_get(doc, where, "double")), F.lit(0.0))
+
+
+def whole(doc: Column, where: str) -> Column:
+    """Number cut towards zero."""
+    return F.coalesce(number(doc, where).try_cast("bigint"), F.lit(0))
+
+
+def lenient_number(doc: Column, where: str) -> Column:
+    written = F.try_variant_get(doc, where, "string").try_cast("double")
+    return F.when(kind(doc, where) == "STRING", F.coalesce(written, F.lit(0.0))).otherwise(number(doc, where))
+
+
+def lenient_whole(doc: Column, where: str) -> Column:
+    written = F.regexp_extract(F.try_variant_get(doc, where, "string"), r"^([+-]?\d+)$", 1).try_cast("bigint")
+    return F.when(kind(doc, where) == "STRING", F.coalesce(written, F.lit(0))).otherwise(whole(doc, where))
+
+
+def first_of_list(doc: Column, where: str) -> Column:
+    """First text of a JSON array; '' for anything else."""
+    return text(doc, where + "[0]")
