@@ -66,15 +66,17 @@ def exact_percentiles(df: DataFrame, value: str, offset, by: Sequence[str] = ())
     ranked = ranked.select(*cells.columns, F.col("_r.p").alias("_p"), F.col("_r.o").alias("_o"))
     first = _locate(ranked, [*group, "_p"], "_c1", F.col("_o")).select(*group, "_c1", "_p", "_lo", "_hi", "_rank")
 
-    inside = rows.join(first, [*group, "_c1"])
+    # Without groups the located cells are three rows, one per percentile.
+    small = F.broadcast if not by else (lambda located: located)
+    inside = rows.join(small(first), [*group, "_c1"])
     width = F.col("_hi") - F.col("_lo")
     share = F.when(width > 0, (F.col("_v") - F.col("_lo")) / width * _SPLIT).otherwise(0.0)
     inside = inside.withColumn("_c2", F.floor(share)).drop("_lo", "_hi")
     key = [*group, "_p"]
-    second = _locate(inside.groupBy(*key, "_c2", "_rank").agg(weight.alias("_n")).withColumnRenamed("_rank", "_o"), key, "_c2", F.col("_o"))
-    second = second.select(*key, "_c2", F.col("_rank").alias("_o"))
+    parts = inside.groupBy(*key, "_c2", F.col("_rank").alias("_o")).agg(weight.alias("_n"))
+    second = _locate(parts, key, "_c2", F.col("_o")).select(*key, "_c2", F.col("_rank").alias("_o"))
 
-    values = inside.drop("_rank").join(second, [*key, "_c2"]).groupBy(*key, "_o", "_v").agg(weight.alias("_n"))
+    values = inside.drop("_rank").join(small(second), [*key, "_c2"]).groupBy(*key, "_o", "_v").agg(weight.alias("_n"))
     found = _locate(values, key, "_v", F.col("_o"))
     picked = [F.max(F.when(F.col("_p") == p, F.col("_v"))).alias(p) for p in RANKS]
     return found.groupBy(*group).agg(*picked).drop("_all")
@@ -99,8 +101,8 @@ def response_time_stats(df: DataFrame, scope: Scope, *, approximate: bool = Fals
         ranks = approx_percentiles(rows, "response_time_ms")
     else:
         ranks = exact_percentiles(rows, "response_time_ms", overall_offset)
-    joined = base.join(F.broadcast(ranks), F.lit(True), "left")  # one row on each side
-    return joined.select("min", "max", "avg", *(F.coalesce(p, F.lit(0.0)).alias(p) for p in RANKS))
+    both = base.unionByName(ranks, allowMissingColumns=True)
+    return both.agg(*(F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in ("min", "max", "avg", *RANKS)))
 
 
 # Upper bounds in ms of the response-time classes; the last class is open.

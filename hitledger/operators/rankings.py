@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hitledger.functions import measures as m
-from hitledger.functions.instants import instant  # noqa: F401
 from hitledger.functions.predicates import DrillDown, Scope, contains_ci, known
 
 
@@ -141,13 +140,9 @@ def top_referrer_domains(df: DataFrame, scope: Scope, limit: int = 10) -> DataFr
 
 
 def with_share(ranked: DataFrame, column: str, name: str = "share") -> DataFrame:
-    """Percentage of the column total.
-
-    The total comes from a one-row aggregate joined back, not from a global window.
-    """
+    """Percentage of the column total; the total is a scalar subquery, not a global window."""
     total = ranked.agg(F.coalesce(F.sum(column), F.lit(0)).alias("_total"))
-    joined = ranked.join(F.broadcast(total), how="cross")
-    return joined.withColumn(name, m.percent(F.col(column), F.col("_total"))).drop("_total")
+    return ranked.withColumn(name, m.percent(F.col(column), total.scalar()))
 
 
 def country_engagement(df: DataFrame, scope: Scope, limit: int = 0) -> DataFrame:
