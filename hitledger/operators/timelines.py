@@ -19,11 +19,13 @@ from hitledger.functions.instants import (
 )
 from hitledger.functions.predicates import Scope
 
-_ts = F.col("timestamp")
+
+def _ts() -> Column:
+    return F.col("timestamp")
 
 
 def by_bucket(df: DataFrame, unit: str, *measures: Column) -> DataFrame:
-    grouped = df.groupBy(bucket_key(_ts, unit).alias("_bucket")).agg(*measures)
+    grouped = df.groupBy(bucket_key(_ts(), unit).alias("_bucket")).agg(*measures)
     labelled = grouped.withColumn("hour", bucket_label(F.col("_bucket"), unit))
     names = [c for c in grouped.columns if c != "_bucket"]
     return labelled.orderBy("_bucket").select("hour", *names)
@@ -55,7 +57,7 @@ def widget_timeline(df: DataFrame, scope: Scope) -> DataFrame:
 
 
 def heatmap_rows(df: DataFrame, *measures: Column) -> DataFrame:
-    keys = [day_of_week(_ts).alias("day_of_week"), hour_of_day(_ts).alias("hour")]
+    keys = [day_of_week(_ts()).alias("day_of_week"), hour_of_day(_ts()).alias("hour")]
     return df.groupBy(*keys).agg(*measures)
 
 

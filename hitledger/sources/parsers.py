@@ -28,8 +28,13 @@ _CLF_GROUPS = 13
 _RFC3339 = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d+)?(?:Z|[+-]\d\d:\d\d)$"
 _MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
 
-_doc = F.col("_doc")
-_clf = F.col("_clf")
+
+def _doc() -> Column:
+    return F.col("_doc")
+
+
+def _clf(group: int) -> Column:
+    return F.col("_clf")[group]
 
 
 def _decode(df: DataFrame, dialects: Sequence[str]) -> DataFrame:
@@ -39,12 +44,12 @@ def _decode(df: DataFrame, dialects: Sequence[str]) -> DataFrame:
     df = df.withColumn("_doc", doc)
 
     def any_key(keys: Sequence[str]) -> Column:
-        return F.coalesce(*(vj.node(_doc, vj.path(k)) for k in keys)).isNotNull()
+        return F.coalesce(*(vj.node(_doc(), vj.path(k)) for k in keys)).isNotNull()
 
     fmt = F.lit(None).cast("string")
     if NESTED_JSON in dialects:
-        logger = F.startswith(vj.text(_doc, "$.logger"), F.lit(fv.NESTED_JSON_LOGGER))
-        fmt = F.when(logger & vj.present(_doc, "$.request"), NESTED_JSON).otherwise(fmt)
+        logger = F.startswith(vj.text(_doc(), "$.logger"), F.lit(fv.NESTED_JSON_LOGGER))
+        fmt = F.when(logger & vj.present(_doc(), "$.request"), NESTED_JSON).otherwise(fmt)
     if FLAT_JSON in dialects:
         fmt = F.when(any_key(fv.FLAT_JSON_TIME_KEYS) & any_key(fv.FLAT_JSON_CLIENT_KEYS), FLAT_JSON).otherwise(fmt)
     df = df.withColumn("_json_format", fmt)
@@ -54,7 +59,7 @@ def _decode(df: DataFrame, dialects: Sequence[str]) -> DataFrame:
     wants_clf = PROXY_CLF in dialects or PLAIN_CLF in dialects
     parts = F.when(F.col("_json_format").isNull(), parts) if wants_clf else F.lit(None).cast("array<string>")
     df = df.withColumn("_clf", parts)
-    clf_format = F.when(F.size(_clf) == _CLF_GROUPS, F.when(_clf[9] != "", PROXY_CLF).otherwise(PLAIN_CLF))
+    clf_format = F.when(F.size("_clf") == _CLF_GROUPS, F.when(_clf(9) != "", PROXY_CLF).otherwise(PLAIN_CLF))
     return df.withColumn("log_format", F.coalesce("_json_format", clf_format)).drop("_json_format")
 
 
@@ -124,9 +129,9 @@ def tls_cipher_name(code: Column) -> Column:
 
 
 def _flat_json_columns() -> dict[str, Column]:
-    text = lambda key: F.trim(vj.text(_doc, vj.path(key)))
-    nanos = vj.number(_doc, "$.Duration")
-    stamp = F.when(vj.present(_doc, "$.time"), vj.text(_doc, "$.time")).otherwise(vj.text(_doc, "$.StartUTC"))
+    text = lambda key: F.trim(vj.text(_doc(), vj.path(key)))
+    nanos = vj.number(_doc(), "$.Duration")
+    stamp = F.when(vj.present(_doc(), "$.time"), vj.text(_doc(), "$.time")).otherwise(vj.text(_doc(), "$.StartUTC"))
     host, port = split_host_port(F.col("_client"))
     method, target = text("RequestMethod"), text("RequestPath")
     return {
@@ -140,14 +145,14 @@ def _flat_json_columns() -> dict[str, Column]:
         "protocol": text("RequestProtocol"),
         "host": text("request_Host"),
         "request_scheme": text("request_X-Forwarded-Proto"),
-        "status_code": _valid_status(vj.whole(_doc, "$.DownstreamStatus")),
-        "response_size": vj.whole(_doc, "$.DownstreamContentSize"),
+        "status_code": _valid_status(vj.whole(_doc(), "$.DownstreamStatus")),
+        "response_size": vj.whole(_doc(), "$.DownstreamContentSize"),
         "response_time_ms": nanos / 1_000_000,
         "response_content_type": text("downstream_Content-Type"),
         "duration": F.coalesce(nanos.try_cast("bigint"), F.lit(0)),
         "start_utc": text("StartUTC"),
-        "retry_attempts": vj.whole(_doc, "$.RetryAttempts"),
-        "requests_total": vj.whole(_doc, "$.RequestsTotal"),
+        "retry_attempts": vj.whole(_doc(), "$.RetryAttempts"),
+        "requests_total": vj.whole(_doc(), "$.RequestsTotal"),
         "user_agent": text("request_User-Agent"),
         "referer": text("request_Referer"),
         "backend_name": text("ServiceName"),
@@ -161,38 +166,38 @@ def _flat_json_columns() -> dict[str, Column]:
 
 
 def _clf_columns() -> dict[str, Column]:
-    stamp = _clf[2]
+    stamp = _clf(2)
     when = F.try_to_timestamp(stamp, F.lit(fv.CLF_TIME_FORMAT))
     host, port = split_host_port(F.col("_client"))
-    millis = F.coalesce(_clf[12].try_cast("bigint"), F.lit(0))
+    millis = F.coalesce(_clf(12).try_cast("bigint"), F.lit(0))
     return {
-        "_client": _clf[0],
-        "_target": _clf[4],
+        "_client": _clf(0),
+        "_target": _clf(4),
         "timestamp": when,
         "client_ip": host,
         "client_port": port,
-        "method": _clf[3],
-        "status_code": _valid_status(_clf[5].try_cast("int")),
-        "response_size": F.coalesce(_clf[6].try_cast("bigint"), F.lit(0)),
+        "method": _clf(3),
+        "status_code": _valid_status(_clf(5).try_cast("int")),
+        "response_size": F.coalesce(_clf(6).try_cast("bigint"), F.lit(0)),
         "response_time_ms": millis.cast("double"),
         "duration": millis * 1_000_000,
         "start_utc": F.when(when.isNotNull(), _clf_start_text(stamp)),
-        "requests_total": F.coalesce(_clf[9].try_cast("int"), F.lit(0)),
-        "user_agent": _undash(_clf[8]),
-        "referer": _undash(_clf[7]),
-        "backend_name": _undash(_clf[10]),
-        "backend_url": _undash(_clf[11]),
+        "requests_total": F.coalesce(_clf(9).try_cast("int"), F.lit(0)),
+        "user_agent": _undash(_clf(8)),
+        "referer": _undash(_clf(7)),
+        "backend_name": _undash(_clf(10)),
+        "backend_url": _undash(_clf(11)),
     }
 
 
 def _nested_json_columns() -> dict[str, Column]:
-    text = lambda *keys: vj.text(_doc, vj.path(*keys))
-    header = lambda *keys: vj.first_of_list(_doc, vj.path(*keys))
-    ts = vj.lenient_number(_doc, "$.ts")
+    text = lambda *keys: vj.text(_doc(), vj.path(*keys))
+    header = lambda *keys: vj.first_of_list(_doc(), vj.path(*keys))
+    ts = vj.lenient_number(_doc(), "$.ts")
     seconds = ts.try_cast("bigint")
     nanos = ((ts - seconds) * 1e9).try_cast("bigint")
-    took = vj.lenient_number(_doc, "$.duration")
-    has_tls = vj.is_object(_doc, "$.request.tls")
+    took = vj.lenient_number(_doc(), "$.duration")
+    has_tls = vj.is_object(_doc(), "$.request.tls")
     if_tls = lambda c: F.when(has_tls, c).otherwise("")
     client = [text("request", "client_ip"), text("request", "remote_ip"), header("request", "headers", "X-Forwarded-For")]
     return {
@@ -200,27 +205,27 @@ def _nested_json_columns() -> dict[str, Column]:
         "_target": text("request", "uri"),
         "timestamp": F.when(ts != 0, F.timestamp_micros(seconds * 1_000_000 + F.floor(nanos / 1_000))),
         "client_ip": F.col("_client"),
-        "client_port": vj.lenient_whole(_doc, "$.request.remote_port"),
+        "client_port": vj.lenient_whole(_doc(), "$.request.remote_port"),
         "client_user": text("user_id"),
         "method": text("request", "method"),
         "protocol": text("request", "proto"),
         "host": text("request", "host"),
-        "request_length": vj.lenient_whole(_doc, "$.bytes_read"),
+        "request_length": vj.lenient_whole(_doc(), "$.bytes_read"),
         "request_scheme": F.when(has_tls, "https").otherwise("http"),
-        "status_code": vj.lenient_whole(_doc, "$.status"),
-        "response_size": vj.lenient_whole(_doc, "$.size"),
+        "status_code": vj.lenient_whole(_doc(), "$.status"),
+        "response_size": vj.lenient_whole(_doc(), "$.size"),
         "response_time_ms": took * 1_000,
         "response_content_type": header("resp_headers", "Content-Type"),
         "duration": F.coalesce((took * 1e9).try_cast("bigint"), F.lit(0)),
         "start_utc": _utc_text(seconds, nanos),
-        "upstream_response_time_ms": vj.lenient_number(_doc, "$.upstream.duration") * 1_000,
+        "upstream_response_time_ms": vj.lenient_number(_doc(), "$.upstream.duration") * 1_000,
         "user_agent": header("request", "headers", "User-Agent"),
         "referer": header("request", "headers", "Referer"),
         "backend_url": text("upstream", "address"),
         "router_name": text("logger"),
-        "upstream_status": vj.lenient_whole(_doc, "$.upstream.status"),
-        "tls_version": if_tls(tls_version_name(vj.lenient_whole(_doc, "$.request.tls.version"))),
-        "tls_cipher": if_tls(tls_cipher_name(vj.lenient_whole(_doc, "$.request.tls.cipher_suite"))),
+        "upstream_status": vj.lenient_whole(_doc(), "$.upstream.status"),
+        "tls_version": if_tls(tls_version_name(vj.lenient_whole(_doc(), "$.request.tls.version"))),
+        "tls_cipher": if_tls(tls_cipher_name(vj.lenient_whole(_doc(), "$.request.tls.cipher_suite"))),
         "tls_server_name": if_tls(text("request", "tls", "server_name")),
     }
 
@@ -267,8 +272,8 @@ def parse_lines(df: DataFrame, *, dialects: Sequence[str] = ALL_DIALECTS) -> Dat
         reason = F.when((F.col("log_format") == FLAT_JSON) & (F.col("_client") == ""), "missing_client_ip").otherwise(reason)
     if NESTED_JSON in dialects:
         nested = F.col("log_format") == NESTED_JSON
-        reason = F.when(nested & ~vj.is_object(_doc, "$.request"), "missing_request").otherwise(reason)
-        reason = F.when(nested & (vj.lenient_number(_doc, "$.ts") == 0), "missing_timestamp").otherwise(reason)
+        reason = F.when(nested & ~vj.is_object(_doc(), "$.request"), "missing_request").otherwise(reason)
+        reason = F.when(nested & (vj.lenient_number(_doc(), "$.ts") == 0), "missing_timestamp").otherwise(reason)
 
     out = df.select(
         *carried, "value", "log_format", reason.alias("reject_reason"), *(c.alias(n) for n, c in columns.items())
