@@ -8,19 +8,12 @@ from pyspark.sql import functions as F
 from hitledger.functions import fixed_values as fv
 
 
-def _first_match(agent: Column, patterns) -> tuple[Column, Column]:
-    """Name and captured version of the first pattern that matches.
-
-    The version decides most patterns: it is non-empty exactly when the pattern matched, so the
-    pattern runs once. Patterns with an empty group need the extra test.
-    """
-    name, version = F.lit("Unknown"), F.lit("")
-    for label, pattern in reversed(patterns):
-        found = F.regexp_extract(agent, pattern, 1)
-        matched = agent.rlike(pattern) if pattern.endswith("()") else found != ""
-        name = F.when(matched, label).otherwise(name)
-        version = F.when(matched, found).otherwise(version)
-    return name, F.translate(version, "_", ".")
+def _first_match(agent: Column, patterns) -> Column:
+    """``name/version`` of the first pattern that matches; later patterns are not tried."""
+    found = F.lit(None).cast("string")
+    for name, pattern in reversed(patterns):
+        found = F.when(agent.rlike(pattern), F.concat(F.lit(f"{name}/"), F.regexp_extract(agent, pattern, 1))).otherwise(found)
+    return F.coalesce(found, F.lit("Unknown/"))
 
 
 def _bot_name(agent: Column) -> Column:
@@ -31,23 +24,31 @@ def _bot_name(agent: Column) -> Column:
     return name
 
 
-def user_agent_columns(agent: Column) -> dict[str, Column]:
-    """The five derived columns; all '' for an empty agent."""
-    browser, browser_version = _first_match(agent, fv.BROWSERS)
-    system, system_version = _first_match(agent, fv.SYSTEMS)
-    is_bot = agent.rlike(fv.BOT_PATTERN)
-    is_mobile = agent.rlike(fv.MOBILE_PATTERN)
+def _classify(df: DataFrame, column: str) -> DataFrame:
+    """Add the five derived columns; all '' for an empty agent.
+
+    Done in steps, so that each pattern runs once per row although name and version both use it.
+    """
+    agent, is_bot = F.col(column), F.col("_is_bot")
 
     def pick(for_bot: Column, otherwise: Column) -> Column:
-        return F.when(agent == "", "").when(is_bot, for_bot).otherwise(otherwise)
-
-    return {
-        "browser": pick(_bot_name(agent), browser),
-        "browser_version": pick(F.lit(""), browser_version),
-        "os": pick(F.lit("Bot"), system),
-        "os_version": pick(F.lit(""), system_version),
-        "device_type": pick(F.lit("bot"), F.when(is_mobile, "mobile").otherwise("desktop")),
+        return F.when(agent == "", "/").when(is_bot, for_bot).otherwise(otherwise)
+
+    found = df.withColumn("_is_bot", agent.rlike(fv.BOT_PATTERN)).withColumns(
+        {
+            "_browser": pick(F.concat(_bot_name(agent), F.lit("/")), _first_match(agent, fv.BROWSERS)),
+            "_os": pick(F.lit("Bot/"), _first_match(agent, fv.SYSTEMS)),
+        }
+    )
+    device = F.when(is_bot, "bot").when(agent.rlike(fv.MOBILE_PATTERN), "mobile").otherwise("desktop")
+    columns = {
+        "browser": F.substring_index("_browser", "/", 1),
+        "browser_version": F.substring_index("_browser", "/", -1),
+        "os": F.substring_index("_os", "/", 1),
+        "os_version": F.translate(F.substring_index("_os", "/", -1), "_", "."),
+        "device_type": F.when(agent == "", "").otherwise(device),
     }
+    return found.withColumns(columns).drop("_is_bot", "_browser", "_os")
 
 
 def parse_user_agent(df: DataFrame, *, column: str = "user_agent", via_distinct: bool = False) -> DataFrame:
@@ -58,9 +59,8 @@ def parse_user_agent(df: DataFrame, *, column: str = "user_agent", via_distinct:
     parsing, the extra pass would parse every line twice, so the default works row by row.
     """
     if not via_distinct:
-        return df.withColumns(user_agent_columns(F.col(column)))
-    agents = df.select(column).distinct().withColumns(user_agent_columns(F.col(column)))
-    return df.join(agents, column, "left")
+        return _classify(df, column)
+    return df.join(_classify(df.select(column).distinct(), column), column, "left")
 
 
 def windows_release(nt_version: Column) -> Column:

@@ -26,17 +26,18 @@ def with_identity(df: DataFrame) -> DataFrame:
     return df.withColumns({"request_hash": request_hash(), "partition_key": month_key(F.col("timestamp"))})
 
 
-def dedupe(df: DataFrame, *, order: tuple[str, ...] = ()) -> DataFrame:
+def dedupe(df: DataFrame, *, order: tuple[str, ...] = (), all_hashed: bool = False) -> DataFrame:
     """One row per request hash, the first in ``order``; rows without a hash all stay.
 
+    ``all_hashed`` says that every row has a hash (ingest computes it), which saves the second scan.
+
     The rank-one filter also runs before the shuffle, so copies of one request collapse where they
     are read, and a hash that fills a third of the table never meets in one task.
     """
-    hashed = df.filter(F.col("request_hash") != "")
-    unhashed = df.filter(F.col("request_hash") == "")
+    hashed = df if all_hashed else df.filter(F.col("request_hash") != "")
     first = Window.partitionBy("request_hash").orderBy(*(order or ("timestamp",)))
     kept = hashed.withColumn("_copy", F.row_number().over(first)).filter(F.col("_copy") == 1).drop("_copy")
-    return kept.unionByName(unhashed)
+    return kept if all_hashed else kept.unionByName(df.filter(F.col("request_hash") == ""))
 
 
 def new_only(batch: DataFrame, stored: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hitledger.functions.predicates import Scope
+from hitledger.functions.predicates import Exclusion, Scope, Service
 from hitledger.operators import periods as pd
 from hitledger.plans.catalog import query
 from hitledger.plans.report_queries import SHOP
@@ -13,7 +13,6 @@ from hitledger.plans.sample_sql import (
     AVG, BYTES, DAY, DOW, HITS, HOUR, HOUR_NO, MONTH, SERVICE, SERVICE_TYPE, SIX, STATUS_CLASSES, TOTAL_BYTES, VISITORS,
     base, pct,
 )
-from hitledger.functions.predicates import Exclusion, Service
 
 _GIVEN = [
     ("One day", "2024-01-10 00:00:00", "2024-01-11 00:00:00"),
@@ -73,47 +72,62 @@ _STATUS = "SELECT period, status_code, count(*) AS count FROM r GROUP BY 1, 2"
 _DEVICES = "SELECT period, coalesce(nullif(device_type, ''), 'unknown') AS device_type, count(*) AS count FROM r GROUP BY 1, 2"
 
 
-def _reports(s):
-    return pd.compare(s.placed, _periods(), tags=s.tags)
+def _rows(s):
+    return pd.in_periods(s.placed, _periods())
+
+
+_BUILD = {
+    "timeline": lambda s: pd.period_timeline(_rows(s), _periods()),
+    "service_timeline": lambda s: pd.period_service_timeline(_rows(s), _periods()),
+    "status_code_timeline": lambda s: pd.period_status_timeline(_rows(s), _periods()),
+    "heatmap": lambda s: pd.period_heatmap(_rows(s)),
+    "top_paths": lambda s: pd.period_top_paths(_rows(s)),
+    "top_ips": lambda s: pd.period_top_ips(_rows(s), s.tags),
+    "top_countries": lambda s: pd.period_top_countries(_rows(s)),
+    "top_backends": lambda s: pd.period_top_backends(_rows(s)),
+    "service_breakdown": lambda s: pd.period_services(_rows(s)),
+    "status_code_distribution": lambda s: pd.period_status_codes(_rows(s)),
+    "device_types": lambda s: pd.period_devices(_rows(s)),
+}
 
 
 query("compare_summary", lambda s: pd.period_summary(pd.in_periods(s.plain, _periods()), _periods()), _sql(_SUMMARY))
-query("compare_timeline", lambda s: _reports(s)["timeline"], _sql(_TIMELINE))
+query("compare_timeline", _BUILD["timeline"], _sql(_TIMELINE))
 query(
     "compare_service_timeline",
-    lambda s: _reports(s)["service_timeline"],
+    _BUILD["service_timeline"],
     _sql(f"""SELECT period, {SERVICE} AS service_name, {SERVICE_TYPE} AS service_type, {_BUCKET} AS hour, count(*) AS requests,
   {BYTES}, {AVG}, count(*) FILTER (status_code >= 400) AS errors FROM r GROUP BY 1, 2, 3, 4"""),
 )
 query(
     "compare_status_timeline",
-    lambda s: _reports(s)["status_code_timeline"],
+    _BUILD["status_code_timeline"],
     _sql(f"SELECT period, {_BUCKET} AS hour, {STATUS_CLASSES} FROM r GROUP BY 1, 2"),
 )
 query(
     "compare_heatmap",
-    lambda s: _reports(s)["heatmap"],
+    _BUILD["heatmap"],
     _sql(f"SELECT period, {DOW} AS day_of_week, {HOUR_NO} AS hour, count(*) AS requests, {AVG} FROM r GROUP BY 1, 2, 3"),
 )
-query("compare_top_paths", lambda s: _reports(s)["top_paths"], _sql(_PATHS))
+query("compare_top_paths", _BUILD["top_paths"], _sql(_PATHS))
 query(
     "compare_top_ips",
-    lambda s: _reports(s)["top_ips"],
+    _BUILD["top_ips"],
     _sql(
         """SELECT i.*, coalesce(t.friendly_name, '') AS friendly_name, coalesce(t.tags, '') AS tags
 FROM ips i LEFT JOIN ip_tags t USING (ip_address)""",
         f"ips AS ({_IPS})",
     ),
 )
-query("compare_top_countries", lambda s: _reports(s)["top_countries"], _sql(_COUNTRIES))
+query("compare_top_countries", _BUILD["top_countries"], _sql(_COUNTRIES))
 query(
     "compare_top_backends",
-    lambda s: _reports(s)["top_backends"],
+    _BUILD["top_backends"],
     _sql(_best(_service_rows(500), "true", f"{SERVICE}, {SERVICE_TYPE}", f"{SERVICE}, {SERVICE_TYPE}", 10)),
 )
-query("compare_services", lambda s: _reports(s)["service_breakdown"], _sql(_SERVICES))
-query("compare_status_codes", lambda s: _reports(s)["status_code_distribution"], _sql(_STATUS))
-query("compare_devices", lambda s: _reports(s)["device_types"], _sql(_DEVICES))
+query("compare_services", _BUILD["service_breakdown"], _sql(_SERVICES))
+query("compare_status_codes", _BUILD["status_code_distribution"], _sql(_STATUS))
+query("compare_devices", _BUILD["device_types"], _sql(_DEVICES))
 query(
     "compare_filtered",
     lambda s: pd.period_summary(
@@ -208,7 +222,7 @@ for _report, _entity, _source, _value in (
 ):
     query(
         f"compare_matrix_{_report}",
-        lambda s, report=_report, entity=_entity, value=_value: pd.entity_matrix(_reports(s)[report], entity, COUNT, value=value),
+        lambda s, report=_report, entity=_entity, value=_value: pd.entity_matrix(_BUILD[report](s), entity, COUNT, value=value),
         _sql(f"SELECT * EXCLUDE (pct), round(pct, 6) AS last_delta_percent FROM ({_matrix(_source, _entity, _value)})"),
     )
 
@@ -220,7 +234,7 @@ _INSIGHT_PARTS = "\nUNION ALL\n".join(
 )
 query(
     "compare_entity_insights",
-    lambda s: pd.all_entity_insights(_reports(s), COUNT),
+    lambda s: pd.all_entity_insights(pd.compare(s.placed, _periods(), tags=s.tags), COUNT),
     _sql(f"""SELECT kind, name, p1 AS before, p{COUNT} AS after, round(pct, 6) AS last_delta_percent,
   CASE WHEN abs(pct) >= 150 THEN 'high' WHEN abs(pct) >= 75 THEN 'medium' ELSE 'low' END AS severity,
   round(abs(pct) + abs(last_delta), 6) AS score, trend
@@ -238,7 +252,7 @@ _DESCRIPTION = """CASE
   ELSE 'mixed' END"""
 query(
     "compare_trend_descriptions",
-    lambda s: pd.describe_trends(pd.entity_matrix(_reports(s)["top_paths"], "path", COUNT), COUNT),
+    lambda s: pd.describe_trends(pd.entity_matrix(_BUILD["top_paths"](s), "path", COUNT), COUNT),
     _sql(f"SELECT name, {', '.join(_P)}, {_DESCRIPTION} AS trend FROM ({_matrix(_PATHS, 'path')})"),
 )
 query(
@@ -257,6 +271,6 @@ FROM (SELECT period, requests, row_number() OVER (PARTITION BY period ORDER BY h
 for _report, _column, _source in (("status_code_distribution", "status_code", _STATUS), ("device_types", "device_type", _DEVICES)):
     query(
         f"compare_grid_{_column}",
-        lambda s, report=_report, column=_column: pd.period_matrix(_reports(s)[report], column, COUNT),
+        lambda s, report=_report, column=_column: pd.period_matrix(_BUILD[report](s), column, COUNT),
         _sql(_cells(_source, _column, "count").replace(" AS name", "")),
     )

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from hitledger.functions.useragent import parse_user_agent
 from hitledger.operators.cleaning import with_identity
+from hitledger.session import shared_dir
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -127,7 +128,12 @@ class Sample:
 
     @cached_property
     def lines(self) -> DataFrame:
-        """The requests as raw log lines, in three dialects by turns."""
+        """The requests as raw log lines, in three dialects by turns, kept in a written table as logs are."""
+        path = shared_dir(self.spark, "log-lines")
+        self._rendered().write.parquet(path)
+        return self.spark.read.parquet(path)
+
+    def _rendered(self) -> DataFrame:
         r = self.referred
         flat = F.to_json(
             F.struct(
@@ -181,8 +187,8 @@ class Sample:
                 F.when(F.col("backend_url") != "", F.struct(F.col("backend_url").alias("address"))).alias("upstream"),
             )
         )
-        turn = F.col("id") % 3
-        return r.select("id", F.when(turn == 0, flat).when(turn == 1, clf).otherwise(nested).alias("value"))
+        parts = [r.filter(F.col("id") % 3 == n).select("id", line.alias("value")) for n, line in enumerate((flat, clf, nested))]
+        return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
     def _block(self, size: int) -> DataFrame:
         """Address blocks of ``size`` consecutive clients that occur in the data."""

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from datetime import timedelta
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from hitledger.functions import fixed_values as fv
 from hitledger.functions import measures as m
 from hitledger.functions.instants import instant, utc
-from hitledger.sources import variant_json as vj
+from hitledger.sources import json_lines as jl
 from hitledger.sources.parsers import NESTED_JSON, PLAIN_CLF, PROXY_CLF, detect_format
 
 
@@ -57,10 +59,18 @@ def sniff_sources(lines: DataFrame) -> DataFrame:
     Flat proxy JSON needs two of its five marker keys. Only one line per file and task is kept
     before the shuffle.
     """
-    first = lines.groupBy("file_path").agg(F.min_by("value", F.monotonically_increasing_id()).alias("value"))
-    looked = detect_format(first).withColumn("_doc", F.when(F.startswith("value", F.lit("{")), F.try_parse_json("value")))
-    marker_keys = [vj.present(F.col("_doc"), vj.path(k)).cast("int") for k in fv.FLAT_JSON_FILE_KEYS]
-    markers = F.coalesce(sum(marker_keys[1:], marker_keys[0]), F.lit(0))
+    placed = lines.select("file_path", "value", F.monotonically_increasing_id().alias("place"))
+    first = placed.groupBy("file_path").agg(F.min_by("value", "place").alias("value"))
+    line = F.col("value")
+    doc = F.when(F.startswith(line, F.lit("{")), F.from_json(line, jl.FLAT_SCHEMA))
+    looked = detect_format(first).withColumn("doc", doc)
+
+    def marked(key: str) -> Column:
+        value = F.col("doc").getField(key)
+        return jl.present(line, value.cast("string"), key).cast("int")
+
+    marks = [F.coalesce(marked(k), F.lit(0)) for k in fv.FLAT_JSON_FILE_KEYS]
+    markers = reduce(add, marks)
     clf = F.col("log_format").isin(PROXY_CLF, PLAIN_CLF)
     parser = F.when((markers >= 2) | clf, "traefik").when(F.col("log_format") == NESTED_JSON, "caddy")
     return looked.select("file_path", parser.alias("parser")).filter(F.col("parser").isNotNull())

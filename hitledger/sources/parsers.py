@@ -1,13 +1,15 @@
 """Access-log lines to request events.
 
-Every line is decoded once: JSON into a variant, Common Log Format by one regular expression. A
-format column then picks, per output column, the expression of that dialect, so a mixed source
-needs a single scan and unused columns are pruned.
+Every line is decoded once: JSON by the schema of its dialect, Common Log Format by one regular
+expression. A format column then picks, per output column, the expression of that dialect, so a
+mixed source needs a single scan.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from hitledger.functions import fixed_values as fv
 from hitledger.functions.net import split_host_port
 from hitledger.schema import EVENT_SCHEMA, empty_value
-from hitledger.sources import variant_json as vj
+from hitledger.sources import json_lines as jl
 
 FLAT_JSON, NESTED_JSON, PROXY_CLF, PLAIN_CLF = "traefik_json", "caddy_json", "traefik_clf", "generic_clf"
 TRAEFIK = (FLAT_JSON, PROXY_CLF, PLAIN_CLF)
@@ -29,8 +31,23 @@ _RFC3339 = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d+)?(?:Z|[+-]\d\d:\d\d)$"
 _MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
 
 
-def _doc() -> Column:
-    return F.col("_doc")
+def _line() -> Column:
+    return F.col("value")
+
+
+def _flat(key: str) -> Column:
+    return F.col("_flat").getField(key)
+
+
+def _flat_text(key: str) -> Column:
+    return F.trim(jl.text(_line(), _flat(key), key))
+
+
+def _nested(*keys: str) -> Column:
+    value = F.col("_nested")
+    for key in keys:
+        value = value.getField(key)
+    return value
 
 
 def _clf(group: int) -> Column:
@@ -38,34 +55,40 @@ def _clf(group: int) -> Column:
 
 
 def _decode(df: DataFrame, dialects: Sequence[str]) -> DataFrame:
-    line = F.col("value")
-    wants_json = FLAT_JSON in dialects or NESTED_JSON in dialects
-    doc = F.when(F.startswith(line, F.lit("{")), F.try_parse_json(line)) if wants_json else F.parse_json(F.lit(None))
-    df = df.withColumn("_doc", doc)
-
-    def any_key(keys: Sequence[str]) -> Column:
-        return F.coalesce(*(vj.node(_doc(), vj.path(k)) for k in keys)).isNotNull()
+    line = _line()
+    is_json = F.startswith(line, F.lit("{"))
+    nothing = F.lit(None)
 
-    fmt = F.lit(None).cast("string")
+    nested_format = nothing.cast("string")
     if NESTED_JSON in dialects:
-        logger = F.startswith(vj.text(_doc(), "$.logger"), F.lit(fv.NESTED_JSON_LOGGER))
-        fmt = F.when(logger & vj.present(_doc(), "$.request"), NESTED_JSON).otherwise(fmt)
+        doc = F.when(is_json & F.contains(line, F.lit(fv.NESTED_JSON_LOGGER)), F.from_json(line, jl.NESTED_SCHEMA))
+        df = df.withColumn("_nested", doc)
+        logger = F.startswith(jl.text(line, _nested("logger"), "logger"), F.lit(fv.NESTED_JSON_LOGGER))
+        has_request = _nested("request").isNotNull() | line.rlike(r'"request"\s*:')
+        nested_format = F.when(F.col("_nested").isNotNull() & logger & has_request, NESTED_JSON)
+    df = df.withColumn("_nested_format", nested_format)
+
+    flat_format = nothing.cast("string")
     if FLAT_JSON in dialects:
-        fmt = F.when(any_key(fv.FLAT_JSON_TIME_KEYS) & any_key(fv.FLAT_JSON_CLIENT_KEYS), FLAT_JSON).otherwise(fmt)
-    df = df.withColumn("_json_format", fmt)
+        df = df.withColumn("_flat", F.when(is_json & F.col("_nested_format").isNull(), F.from_json(line, jl.FLAT_SCHEMA)))
+
+        def any_key(keys: Sequence[str]) -> Column:
+            return reduce(or_, (jl.present(line, _flat(k), k) for k in keys))
+
+        flat_format = F.when(F.col("_flat").isNotNull() & any_key(fv.FLAT_JSON_TIME_KEYS) & any_key(fv.FLAT_JSON_CLIENT_KEYS), FLAT_JSON)
+    df = df.withColumn("_json_format", F.coalesce("_nested_format", flat_format))
 
     groups = _SEP.join(f"${n}" for n in range(1, _CLF_GROUPS + 1))
     parts = F.split(F.regexp_replace(line, _CLF_LINE, groups), _SEP)
     wants_clf = PROXY_CLF in dialects or PLAIN_CLF in dialects
-    parts = F.when(F.col("_json_format").isNull(), parts) if wants_clf else F.lit(None).cast("array<string>")
-    df = df.withColumn("_clf", parts)
+    df = df.withColumn("_clf", F.when(F.col("_json_format").isNull(), parts) if wants_clf else nothing.cast("array<string>"))
     clf_format = F.when(F.size("_clf") == _CLF_GROUPS, F.when(_clf(9) != "", PROXY_CLF).otherwise(PLAIN_CLF))
-    return df.withColumn("log_format", F.coalesce("_json_format", clf_format)).drop("_json_format")
+    return df.withColumn("log_format", F.coalesce("_json_format", clf_format)).drop("_json_format", "_nested_format")
 
 
 def detect_format(df: DataFrame, *, dialects: Sequence[str] = ALL_DIALECTS) -> DataFrame:
     """Add ``log_format``: dialect of each line in ``value``, or null."""
-    return _decode(df, dialects).drop("_doc", "_clf")
+    return _decode(df, dialects).drop("_flat", "_nested", "_clf")
 
 
 def _undash(part: Column) -> Column:
@@ -85,7 +108,8 @@ def _redirect_target(query: Column) -> Column:
     )
     first = F.get(pairs, F.lit(0))
     value = F.when(F.contains(first, F.lit("=")), F.try_url_decode(F.regexp_replace(first, "^[^=]*=", "")))
-    return F.when((query == "") | broken, "").otherwise(F.coalesce(value, F.lit("")))
+    possible = F.contains(query, F.lit("redirect")) | F.contains(query, F.lit("%"))
+    return F.when(~possible | broken, "").otherwise(F.coalesce(value, F.lit("")))
 
 
 def _clf_start_text(stamp: Column) -> Column:
@@ -129,9 +153,10 @@ def tls_cipher_name(code: Column) -> Column:
 
 
 def _flat_json_columns() -> dict[str, Column]:
-    text = lambda key: F.trim(vj.text(_doc(), vj.path(key)))
-    nanos = vj.number(_doc(), "$.Duration")
-    stamp = F.when(vj.present(_doc(), "$.time"), vj.text(_doc(), "$.time")).otherwise(vj.text(_doc(), "$.StartUTC"))
+    text = _flat_text
+    nanos = jl.number(_flat("Duration"))
+    raw = lambda key: jl.text(_line(), _flat(key), key)
+    stamp = F.when(jl.present(_line(), _flat("time"), "time"), raw("time")).otherwise(raw("StartUTC"))
     host, port = split_host_port(F.col("_client"))
     method, target = text("RequestMethod"), text("RequestPath")
     return {
@@ -145,14 +170,14 @@ def _flat_json_columns() -> dict[str, Column]:
         "protocol": text("RequestProtocol"),
         "host": text("request_Host"),
         "request_scheme": text("request_X-Forwarded-Proto"),
-        "status_code": _valid_status(vj.whole(_doc(), "$.DownstreamStatus")),
-        "response_size": vj.whole(_doc(), "$.DownstreamContentSize"),
+        "status_code": _valid_status(jl.whole(_flat("DownstreamStatus"))),
+        "response_size": jl.whole(_flat("DownstreamContentSize")),
         "response_time_ms": nanos / 1_000_000,
         "response_content_type": text("downstream_Content-Type"),
         "duration": F.coalesce(nanos.try_cast("bigint"), F.lit(0)),
         "start_utc": text("StartUTC"),
-        "retry_attempts": vj.whole(_doc(), "$.RetryAttempts"),
-        "requests_total": vj.whole(_doc(), "$.RequestsTotal"),
+        "retry_attempts": jl.whole(_flat("RetryAttempts")),
+        "requests_total": jl.whole(_flat("RequestsTotal")),
         "user_agent": text("request_User-Agent"),
         "referer": text("request_Referer"),
         "backend_name": text("ServiceName"),
@@ -191,41 +216,42 @@ def _clf_columns() -> dict[str, Column]:
 
 
 def _nested_json_columns() -> dict[str, Column]:
-    text = lambda *keys: vj.text(_doc(), vj.path(*keys))
-    header = lambda *keys: vj.first_of_list(_doc(), vj.path(*keys))
-    ts = vj.lenient_number(_doc(), "$.ts")
+    text = lambda *keys: jl.text(_line(), _nested(*keys), keys[-1])
+    whole = lambda *keys: jl.lenient_whole(_line(), _nested(*keys), keys[-1])
+    header = lambda name: jl.first_of_list(_nested("request", "headers"), name)
+    ts = jl.lenient_number(_nested("ts"))
     seconds = ts.try_cast("bigint")
     nanos = ((ts - seconds) * 1e9).try_cast("bigint")
-    took = vj.lenient_number(_doc(), "$.duration")
-    has_tls = vj.is_object(_doc(), "$.request.tls")
+    took = jl.lenient_number(_nested("duration"))
+    has_tls = _nested("request", "tls").isNotNull()
     if_tls = lambda c: F.when(has_tls, c).otherwise("")
-    client = [text("request", "client_ip"), text("request", "remote_ip"), header("request", "headers", "X-Forwarded-For")]
+    client = [text("request", "client_ip"), text("request", "remote_ip"), header("X-Forwarded-For")]
     return {
         "_client": F.coalesce(*(F.nullif(c, F.lit("")) for c in client), F.lit("")),
         "_target": text("request", "uri"),
         "timestamp": F.when(ts != 0, F.timestamp_micros(seconds * 1_000_000 + F.floor(nanos / 1_000))),
         "client_ip": F.col("_client"),
-        "client_port": vj.lenient_whole(_doc(), "$.request.remote_port"),
+        "client_port": whole("request", "remote_port"),
         "client_user": text("user_id"),
         "method": text("request", "method"),
         "protocol": text("request", "proto"),
         "host": text("request", "host"),
-        "request_length": vj.lenient_whole(_doc(), "$.bytes_read"),
+        "request_length": whole("bytes_read"),
         "request_scheme": F.when(has_tls, "https").otherwise("http"),
-        "status_code": vj.lenient_whole(_doc(), "$.status"),
-        "response_size": vj.lenient_whole(_doc(), "$.size"),
+        "status_code": whole("status"),
+        "response_size": whole("size"),
         "response_time_ms": took * 1_000,
-        "response_content_type": header("resp_headers", "Content-Type"),
+        "response_content_type": jl.first_of_list(_nested("resp_headers"), "Content-Type"),
         "duration": F.coalesce((took * 1e9).try_cast("bigint"), F.lit(0)),
         "start_utc": _utc_text(seconds, nanos),
-        "upstream_response_time_ms": vj.lenient_number(_doc(), "$.upstream.duration") * 1_000,
-        "user_agent": header("request", "headers", "User-Agent"),
-        "referer": header("request", "headers", "Referer"),
+        "upstream_response_time_ms": jl.lenient_number(_nested("upstream", "duration")) * 1_000,
+        "user_agent": header("User-Agent"),
+        "referer": header("Referer"),
         "backend_url": text("upstream", "address"),
         "router_name": text("logger"),
-        "upstream_status": vj.lenient_whole(_doc(), "$.upstream.status"),
-        "tls_version": if_tls(tls_version_name(vj.lenient_whole(_doc(), "$.request.tls.version"))),
-        "tls_cipher": if_tls(tls_cipher_name(vj.lenient_whole(_doc(), "$.request.tls.cipher_suite"))),
+        "upstream_status": whole("upstream", "status"),
+        "tls_version": if_tls(tls_version_name(whole("request", "tls", "version"))),
+        "tls_cipher": if_tls(tls_cipher_name(whole("request", "tls", "cipher_suite"))),
         "tls_server_name": if_tls(text("request", "tls", "server_name")),
     }
 
@@ -272,12 +298,13 @@ def parse_lines(df: DataFrame, *, dialects: Sequence[str] = ALL_DIALECTS) -> Dat
         reason = F.when((F.col("log_format") == FLAT_JSON) & (F.col("_client") == ""), "missing_client_ip").otherwise(reason)
     if NESTED_JSON in dialects:
         nested = F.col("log_format") == NESTED_JSON
-        reason = F.when(nested & ~vj.is_object(_doc(), "$.request"), "missing_request").otherwise(reason)
-        reason = F.when(nested & (vj.lenient_number(_doc(), "$.ts") == 0), "missing_timestamp").otherwise(reason)
+        reason = F.when(nested & _nested("request").isNull(), "missing_request").otherwise(reason)
+        reason = F.when(nested & (jl.lenient_number(_nested("ts")) == 0), "missing_timestamp").otherwise(reason)
 
-    out = df.select(
-        *carried, "value", "log_format", reason.alias("reject_reason"), *(c.alias(n) for n, c in columns.items())
-    )
+    event = F.struct(F.col("log_format"), reason.alias("reject_reason"), *(c.alias(n) for n, c in columns.items()))
+    # Emitted through a generator: filters on parsed columns then stay above the parsing instead of
+    # being pushed below it, where each would repeat the decoding it refers to.
+    out = df.select(*carried, "value", F.inline(F.array(event)))
     known_redirect = F.when(
         (F.col("referer") == "") & (F.col("log_format") != NESTED_JSON), _redirect_target(F.col("query_string"))
     ).otherwise(F.col("referer"))

@@ -38,19 +38,19 @@ def write_requests(df: DataFrame, path: str, *, mode: str = "append") -> None:
 
 
 def append_requests(batch: DataFrame, path: str, *, initial: bool = False) -> None:
-    """Append rows that are neither repeated in the batch nor stored already.
+    """Append rows (all with a request hash) that are neither repeated in the batch nor stored already.
 
     ``initial`` is the bulk load into an empty table: only the batch itself is de-duplicated.
     Running the same batch again adds nothing, so a retried micro-batch is harmless.
     """
     spark = batch.sparkSession
     if initial or not exists(spark, path):
-        write_requests(dedupe(batch), path)
+        write_requests(dedupe(batch, all_hashed=True), path)
         return
     # The batch is read for its time span, its months and its rows; keep the parsed form meanwhile.
     batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        write_requests(dedupe(new_only(batch, read_requests(spark, path))), path)
+        write_requests(dedupe(new_only(batch, read_requests(spark, path)), all_hashed=True), path)
     finally:
         batch.unpersist()
 
