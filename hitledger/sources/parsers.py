@@ -256,17 +256,28 @@ def _nested_json_columns() -> dict[str, Column]:
     }
 
 
-def _by_format(dialects: Sequence[str], name: str) -> Column | None:
-    sources = {FLAT_JSON: _flat_json_columns, PROXY_CLF: _clf_columns, PLAIN_CLF: _clf_columns, NESTED_JSON: _nested_json_columns}
-    picked: Column | None = None
-    by_builder: dict[Callable, list[str]] = {}
+_BUILDERS = {
+    FLAT_JSON: _flat_json_columns,
+    PROXY_CLF: _clf_columns,
+    PLAIN_CLF: _clf_columns,
+    NESTED_JSON: _nested_json_columns,
+}
+
+
+def _columns_by_format(dialects: Sequence[str]) -> list[tuple[list[str], dict[str, Column]]]:
+    """Columns of each dialect in use, with the formats they serve."""
+    formats: dict[Callable, list[str]] = {}
     for dialect in dialects:
-        by_builder.setdefault(sources[dialect], []).append(dialect)
-    for build, formats in by_builder.items():
-        column = build().get(name)
-        if column is not None:
+        formats.setdefault(_BUILDERS[dialect], []).append(dialect)
+    return [(names, build()) for build, names in formats.items()]
+
+
+def _by_format(parts: list[tuple[list[str], dict[str, Column]]], name: str) -> Column | None:
+    picked: Column | None = None
+    for formats, columns in parts:
+        if name in columns:
             test = F.col("log_format").isin(formats)
-            picked = F.when(test, column) if picked is None else picked.when(test, column)
+            picked = F.when(test, columns[name]) if picked is None else picked.when(test, columns[name])
     return picked
 
 
@@ -280,11 +291,12 @@ def parse_lines(df: DataFrame, *, dialects: Sequence[str] = ALL_DIALECTS) -> Dat
     carried = [c for c in df.columns if c not in ("value", *EVENT_SCHEMA.names)]
     now = F.col("ingest_time") if "ingest_time" in df.columns else F.current_timestamp()
     df = _decode(df.filter(F.col("value") != ""), dialects)
-    df = df.withColumns({n: _by_format(dialects, n) for n in ("_client", "_target")})
+    parts = _columns_by_format(dialects)
+    df = df.withColumns({n: _by_format(parts, n) for n in ("_client", "_target")})
 
     columns = {}
     for f in EVENT_SCHEMA.fields:
-        picked = _by_format(dialects, f.name)
+        picked = _by_format(parts, f.name)
         if picked is not None and f.name != "timestamp":
             picked = F.coalesce(picked.try_cast(f.dataType), empty_value(f.dataType))
         columns[f.name] = empty_value(f.dataType) if picked is None else picked
