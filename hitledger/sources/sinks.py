@@ -26,7 +26,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
     """The stored table; month partitions stay text, as the filters expect."""
-    return spark.read.schema(REQUEST_SCHEMA).parquet(path)
+    return spark.read.schema(REQUEST_SCHEMA).parquet(path).select(*REQUEST_SCHEMA.names)
 
 
 def write_requests(df: DataFrame, path: str, *, mode: str = "append") -> None:
