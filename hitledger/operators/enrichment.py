@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hitledger.functions import measures as m
+from hitledger.functions.frames import computed_once
 from hitledger.functions.net import ip_key
 from hitledger.schema import GEO_COLUMNS
 
@@ -28,14 +29,15 @@ def prepare_ranges(ranges: DataFrame, kind: str) -> DataFrame:
     15 inner borders of that prefix, so a table of disjoint ranges has at most 15 rows per key.
     """
     have = set(ranges.columns)
-    keyed = ranges.withColumns({"_start": ip_key(F.col("start_ip")), "_end": ip_key(F.col("end_ip"))})
+    keyed = computed_once(ranges, {"_start": ip_key(F.col("start_ip")), "_end": ip_key(F.col("end_ip"))})
     keyed = keyed.filter(F.length("_start") == F.length("_end"))
+    keyed = computed_once(keyed, {"_prefix": _shared_prefix(F.col("_start"), F.col("_end"))})
     wanted = GEO_COLUMNS + ("country_name",)
     place = F.struct(*(F.col(c) if c in have else F.lit(None).alias(c) for c in wanted))
     return keyed.select(
         F.lit(kind).alias("_kind"),
         F.length("_start").alias("_family"),
-        _shared_prefix(F.col("_start"), F.col("_end")).alias("_prefix"),
+        "_prefix",
         "_start",
         "_end",
         place.cast(
@@ -57,7 +59,7 @@ def lookup_ips(ips: DataFrame, *, city: DataFrame | None = None, country: DataFr
     """
     tables = {"city": city, "country": country, "asn": asn}
     given = [prepare_ranges(t, kind) for kind, t in tables.items() if t is not None]
-    addresses = ips.select("client_ip").distinct().withColumn("_key", ip_key(F.col("client_ip")))
+    addresses = computed_once(ips.select("client_ip").distinct(), {"_key": ip_key(F.col("client_ip"))})
     if not given:
         raise ValueError("no range table given")
     ranges = given[0]
@@ -78,7 +80,7 @@ def lookup_ips(ips: DataFrame, *, city: DataFrame | None = None, country: DataFr
     best = hits.groupBy("client_ip").agg(
         *(F.min_by(F.when(F.col("_kind") == k, F.col("_place")), F.when(F.col("_kind") == k, narrowness)).alias(f"_{k}") for k in _KINDS)
     )
-    placed = addresses.select("client_ip").join(best, "client_ip", "left")
+    placed = ips.select("client_ip").distinct().join(best, "client_ip", "left")
     has_city = F.col("_city").isNotNull()
 
     def place(field: str, *, fallback: bool = False) -> Column:

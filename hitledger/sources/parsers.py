@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hitledger.functions import fixed_values as fv
+from hitledger.functions.frames import computed_once
 from hitledger.functions.net import split_host_port
 from hitledger.schema import EVENT_SCHEMA, empty_value
 from hitledger.sources import json_lines as jl
@@ -290,7 +291,7 @@ def parse_lines(df: DataFrame, *, dialects: Sequence[str] = ALL_DIALECTS) -> Dat
     """
     carried = [c for c in df.columns if c not in ("value", *EVENT_SCHEMA.names)]
     now = F.col("ingest_time") if "ingest_time" in df.columns else F.current_timestamp()
-    df = _decode(df.filter(F.col("value") != ""), dialects)
+    df = _decode(df.filter(F.col("value") != "").select(*carried, "value"), dialects)
     parts = _columns_by_format(dialects)
     df = df.withColumns({n: _by_format(parts, n) for n in ("_client", "_target")})
 
@@ -313,10 +314,8 @@ def parse_lines(df: DataFrame, *, dialects: Sequence[str] = ALL_DIALECTS) -> Dat
         reason = F.when(nested & _nested("request").isNull(), "missing_request").otherwise(reason)
         reason = F.when(nested & (jl.lenient_number(_nested("ts")) == 0), "missing_timestamp").otherwise(reason)
 
-    event = F.struct(F.col("log_format"), reason.alias("reject_reason"), *(c.alias(n) for n, c in columns.items()))
-    # Emitted through a generator: filters on parsed columns then stay above the parsing instead of
-    # being pushed below it, where each would repeat the decoding it refers to.
-    out = df.select(*carried, "value", F.inline(F.array(event)))
+    event = {"reject_reason": reason, **columns}
+    out = computed_once(df, event).select(*carried, "value", "log_format", *event)
     known_redirect = F.when(
         (F.col("referer") == "") & (F.col("log_format") != NESTED_JSON), _redirect_target(F.col("query_string"))
     ).otherwise(F.col("referer"))
