@@ -130,7 +130,7 @@ class Sample:
     def lines(self) -> DataFrame:
         """The requests as raw log lines, in three dialects by turns, kept in a written table as logs are."""
         path = shared_dir(self.spark, "log-lines")
-        self._rendered().write.parquet(path)
+        self._rendered().repartition(self.spark.sparkContext.defaultParallelism).write.parquet(path)
         return self.spark.read.parquet(path)
 
     def _rendered(self) -> DataFrame:
