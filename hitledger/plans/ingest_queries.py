@@ -20,7 +20,6 @@ from hitledger.sources import logs, parsers, sinks
 
 # --- parsing: requests rendered as log lines and read back ---
 
-_QUERY_SQL = "id % 3 AS turn"
 query(
     "detect_format",
     lambda s: parsers.detect_format(s.lines).groupBy("log_format").agg(m.hits("lines")),

@@ -86,7 +86,7 @@ def test_age_text(spark, seconds, text):
     assert one(spark, measures.age_text(F.lit(seconds))) == text
 
 
-def test_reference_seed_rows(requests_of):
+def test_windows_and_services_on_three_rows(requests_of):
     """Three rows: two within a day, two of one service."""
     df = requests_of(
         {"timestamp": "2024-01-30 23:00:00", "client_ip": "1.2.3.4", "backend_name": "svc-a", "status_code": 200, "response_size": 100},

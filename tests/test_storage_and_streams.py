@@ -115,3 +115,12 @@ def test_source_names(spark):
     df = spark.createDataFrame([("file:///var/log/access.log.1",), ("file:///x/y/site-a.json",)], "p string")
     got = [r[0] for r in df.select(logs.source_name(F.col("p"), "traefik")).collect()]
     assert got == ["traefik-access", "traefik-site-a"]
+
+
+def test_latest_rows_carry_over_between_batches(spark):
+    from hitledger.streaming.realtime import merge_latest
+
+    rows = lambda *ids: spark.createDataFrame([(i, i * 1.0) for i in ids], "id bigint, timestamp double")
+    first = merge_latest(rows(1, 5, 3), None, 2)
+    second = merge_latest(rows(4, 2), first, 3)
+    assert [r["id"] for r in second.collect()] == [5, 4, 3]
