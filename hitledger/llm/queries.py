@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitledger.llm import line_dedup
+from hitledger.llm import line_dedup, quality
 from hitledger.llm.texts import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,51 @@ def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     kept = line_dedup.drop_common_lines(docs, counts=True)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query(
+    "op7_quality_cascade",
+    r"""
+    WITH doc AS (
+        SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+    ), word AS (
+        SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM doc
+    ), win AS (
+        SELECT doc_id, i, w, list(w) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS ww,
+               lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM word
+    ), rep AS (
+        SELECT *, (len(ww) = 8 AND count(*) OVER (PARTITION BY doc_id, ww) > 1) AS again FROM win
+    ), cover AS (
+        SELECT *, coalesce(bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW), false) AS inside
+        FROM rep
+    ), words AS (
+        SELECT doc_id, count(*) AS n_words, sum(length(w)) AS word_chars, count(*) FILTER (inside) AS n_repeat_words,
+               count(*) FILTER (regexp_matches(w, '[A-Za-z]|[^\x00-\x7F]')) AS n_alpha,
+               count(*) FILTER (regexp_matches(w, '[A-Z].*[A-Z]') AND NOT regexp_matches(w, '[a-z]')) AS n_caps,
+               count(*) FILTER (w = before) AS n_stutter
+        FROM cover GROUP BY doc_id
+    ), line AS (
+        SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM doc
+    ), lines AS (
+        SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines
+        FROM line WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id
+    ), base AS (
+        SELECT d.doc_id, coalesce(n_words, 0) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars,
+               CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+               coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+               coalesce(n_lines, 0) AS n_lines, coalesce(n_alpha, 0) AS n_alpha, coalesce(n_caps, 0) AS n_caps,
+               coalesce(n_stutter, 0) AS n_stutter
+        FROM doc d LEFT JOIN words USING (doc_id) LEFT JOIN lines USING (doc_id)
+    ), judged AS (
+        SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base
+    )
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT (base_failed OR word_chars < 3 * n_words OR word_chars > 12 * n_words OR 10 * n_symbols > n_words
+                OR 10 * n_dup_lines > 5 * n_lines OR 10 * n_alpha < 7 * n_words OR 10 * n_caps > 3 * n_words
+                OR 10 * n_stutter > 3 * n_words) AS kept
+    FROM judged
+    """,
+)
+def op7_quality_cascade(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return quality.assess(docs).drop("text")
