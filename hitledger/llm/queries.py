@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitledger.llm import line_dedup, quality
-from hitledger.llm.texts import table
+from hitledger.llm import language, line_dedup, quality
+from hitledger.llm.texts import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -97,3 +97,14 @@ def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op7_quality_cascade(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return quality.assess(docs).drop("text")
+
+
+def language_model(documents: DataFrame) -> language.LanguageModel:
+    return language.fit(documents, F.coalesce(remainder(F.col("doc_id"), 4) != 2, F.lit(False)))
+
+
+@query("op10_language_id")
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    found = language.predict(documents.select("doc_id", "text"), language_model(documents))
+    return found.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
