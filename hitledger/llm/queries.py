@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitledger.llm import language, line_dedup, quality, token_counts
+from hitledger.llm import language, line_dedup, quality, simhash, token_counts
 from hitledger.llm.texts import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,8 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     counted = token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+@query("op9_simhash")
+def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.cluster(table(spark, folder, "documents").select("doc_id", "text"))
