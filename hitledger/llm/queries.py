@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitledger.llm import language, line_dedup, quality, simhash, token_counts
+from hitledger.llm import decontamination, language, line_dedup, quality, simhash, token_counts
 from hitledger.llm.texts import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,9 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_simhash")
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.cluster(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op6_decontamination")
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs, items = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark")
+    return decontamination.find_items(docs, items)
