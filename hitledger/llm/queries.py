@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitledger.llm import decontamination, language, line_dedup, quality, simhash, token_counts
+from hitledger.llm import decontamination, language, line_dedup, pieces, quality, simhash, token_counts
 from hitledger.llm.texts import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,10 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs, items = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark")
     return decontamination.find_items(docs, items)
+
+
+@query("op8_sentencepiece")
+def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    encoded = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), check=True)
+    return encoded.select("doc_id", "n_tokens", "token_ids", "round_trip")
