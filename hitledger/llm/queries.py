@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitledger.llm import decontamination, language, line_dedup, pieces, quality, simhash, token_counts
+from hitledger.llm import decontamination, language, line_dedup, pieces, quality, sharding, simhash, token_counts
 from hitledger.llm.texts import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,28 @@ def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     encoded = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), check=True)
     return encoded.select("doc_id", "n_tokens", "token_ids", "round_trip")
+
+
+@query(
+    "op2_sharding",
+    """
+    WITH doc AS (
+        SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes,
+               CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS address
+        FROM documents
+    ), prefix AS (
+        SELECT doc_id, n_bytes, d, address >> (60 - d) AS p FROM doc, (SELECT unnest(range(0, 61)) AS d)
+    ), bucket AS (
+        SELECT *, sum(n_bytes) OVER b AS bytes, count(*) OVER b AS n FROM prefix WINDOW b AS (PARTITION BY d, p)
+    ), fits AS (
+        SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY d) AS nth FROM bucket WHERE bytes <= 1048576 OR n = 1
+    )
+    SELECT doc_id, n_bytes, CASE WHEN d = 0 THEN '' ELSE lpad(bin(p), CAST(d AS INTEGER), '0') END AS shard,
+           CAST(bytes AS BIGINT) AS shard_bytes
+    FROM fits WHERE nth = 1
+    """,
+)
+def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    sized = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"))
+    return sharding.assign(sized, size=F.col("n_bytes"), shard_bytes=sharding.SHARD_BYTES)
