@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitledger.llm import decontamination, language, line_dedup, pieces, quality, sharding, simhash, token_counts
+from hitledger.llm import decontamination, language, line_dedup, pieces, quality, sharding, simhash, token_counts, toxicity
 from hitledger.llm.texts import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +159,13 @@ def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     sized = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"))
     return sharding.assign(sized, size=F.col("n_bytes"), shard_bytes=sharding.SHARD_BYTES)
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    third = remainder(F.col("id"), 3)
+    model = toxicity.fit(docs, table(spark, folder, "labels"), third == 0, third == 2)
+    scored = toxicity.score(docs, model)
+    held_out = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).cast("int").alias("predicted"))
