@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitledger.llm import decontamination, language, line_dedup, pieces, quality, sharding, simhash, token_counts, toxicity
+from hitledger.llm import decontamination, html_text, language, line_dedup, pieces, quality, sharding, simhash, token_counts, toxicity
 from hitledger.llm.texts import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,10 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     scored = toxicity.score(docs, model)
     held_out = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).cast("int").alias("predicted"))
+
+
+@query("op5_html_extraction")
+def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    found = html_text.extract(pages).drop("html")
+    return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
