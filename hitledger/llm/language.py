@@ -32,6 +32,8 @@ RIDGE = 1.0
 #: Steepness of the scores' softmax.
 SHARPNESS = 4.0
 UNDETERMINED = "und"
+#: A document whose best language scores less is in no learned language.
+LEAST_SCORE = 0.3
 ORDERS = (1, 2, 3, 4)
 _SLOTS = 18
 _LETTER = re.compile(r"[^\W\d_]")
@@ -204,3 +206,14 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score"])
 
     return docs.mapInArrow(run, schema)
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel, text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
+    """The rows whose text is in a learned language, unchanged: determined, and with a score of ``least`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text, 1 << 20):
+            names, scores = model.score([t or "" for t in batch.column(text).to_pylist()])
+            yield batch.filter(pa.array([n != UNDETERMINED and s >= least for n, s in zip(names, scores)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

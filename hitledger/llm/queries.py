@@ -171,7 +171,27 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).cast("int").alias("predicted"))
 
 
-@query("op5_html_extraction")
+@query(
+    "op5_html_extraction",
+    """
+    WITH page AS (
+        SELECT page_id, url, string_split(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1),
+               '</?(?:p|h1)>', chr(1), 'g'), chr(1)) AS blocks
+        FROM pages
+    ), block AS (
+        SELECT page_id, url, unnest(blocks) AS b, generate_subscripts(blocks, 1) AS pos FROM page
+    ), plain AS (
+        SELECT page_id, url, pos, replace(replace(replace(replace(replace(replace(replace(replace(b, '<br>', ' '), '<b>', ''), '</b>', ''),
+               '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') AS b
+        FROM block
+    ), tidy AS (
+        SELECT page_id, url, pos, trim(regexp_replace(b, '\\s+', ' ', 'g')) AS b FROM plain
+    ), text AS (
+        SELECT page_id, url, coalesce(string_agg(b, chr(10) ORDER BY pos) FILTER (b <> ''), '') AS text FROM tidy GROUP BY page_id, url
+    )
+    SELECT page_id, url, text, length(text) AS n_chars FROM text
+    """,
+)
 def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url", "html")
     found = html_text.extract(pages).drop("html")
