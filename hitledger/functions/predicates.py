@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 
 from hitledger.functions.instants import day_of_week, hour_of_day, instant, utc
 
-MAX_HOURS = 8_760
-MAX_DAYS = 365
-
 
 @dataclass(frozen=True)
 class Service:
@@ -75,7 +72,8 @@ class Exclusion:
 class Scope:
     """What a report covers: a look-back window, services to keep and clients to leave out.
 
-    ``hours=0`` means all time. The lower bound is exclusive.
+    ``hours=0`` means all time, any other window is taken as it is; a negative one is an error. The
+    lower bound is exclusive.
     """
 
     as_of: object = None
@@ -83,13 +81,17 @@ class Scope:
     services: Sequence[Service] = ()
     exclude: Exclusion | None = field(default=None)
 
-    def with_days(self, days: int, *, default: int = 30) -> "Scope":
-        days = default if days <= 0 else min(days, MAX_DAYS)
+    def __post_init__(self) -> None:
+        if self.hours < 0:
+            raise ValueError("a window cannot be negative")
+
+    def with_days(self, days: int) -> "Scope":
+        """The same scope over ``days``; 0 covers all time."""
         return Scope(self.as_of, days * 24, self.services, self.exclude)
 
     def apply(self, df: DataFrame) -> DataFrame:
         if self.hours > 0:
-            df = since(df, self.as_of, min(self.hours, MAX_HOURS))
+            df = since(df, self.as_of, self.hours)
         return self.apply_who(df)
 
     def apply_who(self, df: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def with_identity(df: DataFrame) -> DataFrame:
 
 
 def dedupe(df: DataFrame, *, order: tuple[str, ...] = (), all_hashed: bool = False) -> DataFrame:
-    """One row per request hash, the first in ``order``; rows without a hash all stay.
+    """One row per request hash, the first in ``order``, then by a hash of the row; rows without a hash all stay.
 
     ``all_hashed`` says that every row has a hash (ingest computes it), which saves the second scan.
 
@@ -35,7 +35,8 @@ def dedupe(df: DataFrame, *, order: tuple[str, ...] = (), all_hashed: bool = Fal
     are read, and a hash that fills a third of the table never meets in one task.
     """
     hashed = df if all_hashed else df.filter(F.col("request_hash") != "")
-    first = Window.partitionBy("request_hash").orderBy(*(order or ("timestamp",)))
+    rest = [c for c, kind in hashed.dtypes if not kind.startswith(("map", "variant")) and c not in ("request_hash", *order)]
+    first = Window.partitionBy("request_hash").orderBy(*(order or ("timestamp",)), F.xxhash64(*rest))
     kept = hashed.withColumn("_copy", F.row_number().over(first)).filter(F.col("_copy") == 1).drop("_copy")
     return kept if all_hashed else kept.unionByName(df.filter(F.col("request_hash") == ""))
 

@@ -16,9 +16,9 @@ from hitledger.functions.instants import bucket_key, bucket_label, client_unit,
 from hitledger.functions.predicates import Scope, known
 from hitledger.operators.latency import RANKS, client_offset, exact_percentiles
 from hitledger.operators.rankings import with_tags
+from hitledger.operators.rows import newest_first
 
 _IP = "ip_address"
-MAX_BACKENDS, MAX_PATHS = 100, 500
 
 
 def of_clients(df: DataFrame, ips: str | Sequence[str] | None, scope: Scope) -> DataFrame:
@@ -28,18 +28,25 @@ def of_clients(df: DataFrame, ips: str | Sequence[str] | None, scope: Scope) ->
     return rows.withColumn(_IP, F.col("client_ip"))
 
 
-def _ranked(grouped: DataFrame, order: str, keys: Sequence[str], limit: int) -> DataFrame:
+def _ranked(grouped: DataFrame, ips, order: str, keys: Sequence[str], limit: int) -> DataFrame:
     """Best ``limit`` rows of every client; the limit is applied before rows are shuffled."""
     if limit > 0:
         best = Window.partitionBy(_IP).orderBy(F.desc(order), *keys)
         grouped = grouped.withColumn("_place", F.row_number().over(best)).filter(F.col("_place") <= limit).drop("_place")
-    return grouped.orderBy(_IP, F.desc(order), *keys)
+    return _in_order(grouped, ips, _IP, F.desc(order), *keys)
 
 
-def ip_stats(df: DataFrame, ips, scope: Scope, *, tags: DataFrame, capped: bool = False) -> DataFrame:
+def _in_order(rows: DataFrame, ips, *order) -> DataFrame:
+    """Sorted if clients were named; reports on all clients are left to the caller to sort."""
+    return rows if ips is None else rows.orderBy(*order)
+
+
+def ip_stats(
+    df: DataFrame, ips, scope: Scope, *, tags: DataFrame, most_backends: int | None = None, most_paths: int | None = None
+) -> DataFrame:
     """Profile per client: totals, first and last request, place, rates, distinct backends and paths.
 
-    ``capped`` limits the two distinct counts to 100 and 500.
+    ``most_backends`` and ``most_paths`` bound what the two distinct counts show.
     """
     grouped = of_clients(df, ips, scope).groupBy(_IP).agg(
         m.hits("total_requests"),
@@ -54,9 +61,9 @@ def ip_stats(df: DataFrame, ips, scope: Scope, *, tags: DataFrame, capped: bool
         F.count_distinct("path").alias("unique_paths"),
     )
     rates = {n: m.percent(F.col(c), F.col("total_requests")) for n, c in (("success_rate", "_ok"), ("error_rate", "_bad"))}
-    if capped:
-        rates["unique_backends"] = F.least("unique_backends", F.lit(MAX_BACKENDS))
-        rates["unique_paths"] = F.least("unique_paths", F.lit(MAX_PATHS))
+    for name, most in (("unique_backends", most_backends), ("unique_paths", most_paths)):
+        if most is not None:
+            rates[name] = F.least(name, F.lit(most))
     return with_tags(grouped.withColumns(rates).drop("_ok", "_bad"), tags)
 
 
@@ -66,16 +73,15 @@ def ip_timeline(df: DataFrame, ips, scope: Scope) -> DataFrame:
     grouped = of_clients(df, ips, scope).groupBy(_IP, bucket_key(F.col("timestamp"), unit).alias("_bucket")).agg(
         m.hits("requests"), F.count_distinct("backend_name").alias("unique_visitors"), m.bandwidth(), m.avg_time()
     )
-    named = grouped.withColumn("hour", bucket_label(F.col("_bucket"), unit)).orderBy(_IP, "_bucket")
+    named = _in_order(grouped.withColumn("hour", bucket_label(F.col("_bucket"), unit)), ips, _IP, "_bucket")
     return named.select(_IP, "hour", "requests", "unique_visitors", "bandwidth", "avg_response_time")
 
 
 def ip_heatmap(df: DataFrame, ips, scope: Scope, *, days: int = 30) -> DataFrame:
     """Weekday and hour profile; ``days=0`` covers all time. Unmeasured requests count as 0 ms."""
-    covered = Scope(scope.as_of, days * 24, scope.services, scope.exclude)
     ts = F.col("timestamp")
-    grouped = of_clients(df, ips, covered).groupBy(_IP, day_of_week(ts).alias("day_of_week"), hour_of_day(ts).alias("hour"))
-    return grouped.agg(m.hits("requests"), m.avg_time_all()).orderBy(_IP, "day_of_week", "hour")
+    grouped = of_clients(df, ips, scope.with_days(days)).groupBy(_IP, day_of_week(ts).alias("day_of_week"), hour_of_day(ts).alias("hour"))
+    return _in_order(grouped.agg(m.hits("requests"), m.avg_time_all()), ips, _IP, "day_of_week", "hour")
 
 
 def ip_top_paths(df: DataFrame, ips, scope: Scope, limit: int = 10) -> DataFrame:
@@ -86,7 +92,7 @@ def ip_top_paths(df: DataFrame, ips, scope: Scope, limit: int = 10) -> DataFrame
         m.bandwidth("total_bandwidth"),
         *(F.max(c).alias(c) for c in ("host", "backend_name", "backend_url")),
     )
-    return _ranked(grouped, "hits", ["path"], limit)
+    return _ranked(grouped, ips, "hits", ["path"], limit)
 
 
 def ip_top_backends(df: DataFrame, ips, scope: Scope, limit: int = 10) -> DataFrame:
@@ -95,7 +101,7 @@ def ip_top_backends(df: DataFrame, ips, scope: Scope, limit: int = 10) -> DataFr
         F.max("backend_url").alias("backend_url"), m.hits(), m.bandwidth(), m.avg_time_all(),
         F.count_if(m.status_between(500)).alias("error_count"),
     )
-    return _ranked(grouped, "hits", ["backend_name"], limit)
+    return _ranked(grouped, ips, "hits", ["backend_name"], limit)
 
 
 def ip_distribution(df: DataFrame, ips, scope: Scope, column: str, limit: int = 0) -> DataFrame:
@@ -103,7 +109,7 @@ def ip_distribution(df: DataFrame, ips, scope: Scope, column: str, limit: int =
     rows = of_clients(df, ips, scope)
     if column != "status_code":
         rows = rows.filter(known(column) if column == "device_type" else known(column, "Unknown"))
-    return _ranked(rows.groupBy(_IP, column).agg(m.hits("count")), "count", [column], limit)
+    return _ranked(rows.groupBy(_IP, column).agg(m.hits("count")), ips, "count", [column], limit)
 
 
 def ip_response_time_stats(df: DataFrame, ips, scope: Scope) -> DataFrame:
@@ -116,9 +122,9 @@ def ip_response_time_stats(df: DataFrame, ips, scope: Scope) -> DataFrame:
 
 def ip_recent_requests(df: DataFrame, ips, scope: Scope, limit: int = 50) -> DataFrame:
     rows = of_clients(df, ips, scope)
-    newest = Window.partitionBy(_IP).orderBy(F.desc("timestamp"), F.desc("id"))
+    newest = Window.partitionBy(_IP).orderBy(*newest_first())
     best = rows.withColumn("_place", F.row_number().over(newest)).filter(F.col("_place") <= limit)
-    return best.drop("_place").orderBy(_IP, F.desc("timestamp"), F.desc("id"))
+    return _in_order(best.drop("_place"), ips, _IP, *newest_first())
 
 
 def ip_bot_share(df: DataFrame, ips, scope: Scope) -> DataFrame:

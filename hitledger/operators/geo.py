@@ -23,8 +23,8 @@ def with_country_names(df: DataFrame, countries: DataFrame, *, code: str = "coun
     )
 
 
-def top_cities(df: DataFrame, scope: Scope, limit: int = 50) -> DataFrame:
-    """Cities with coordinates; a city's position is that of its first client address."""
+def top_cities(df: DataFrame, scope: Scope, limit: int = 0) -> DataFrame:
+    """The ``limit`` busiest cities with coordinates, or all; a city's position is that of its first client address."""
     rows = scope.apply(df).filter(known("geo_city") & (F.col("geo_lat") != 0) & (F.col("geo_lon") != 0))
     position = F.min(F.struct("client_ip", "geo_lat", "geo_lon"))
     grouped = rows.groupBy(F.col("geo_city").alias("city"), F.col("geo_country").alias("country")).agg(
@@ -34,7 +34,8 @@ def top_cities(df: DataFrame, scope: Scope, limit: int = 50) -> DataFrame:
         "city", "country", F.col("_first.geo_lat").alias("latitude"), F.col("_first.geo_lon").alias("longitude"),
         "hits", "bandwidth",
     )
-    return cities.orderBy(F.desc("hits"), "city", "country").limit(limit)
+    ranked = cities.orderBy(F.desc("hits"), "city", "country")
+    return ranked.limit(limit) if limit > 0 else ranked
 
 
 def continent_distribution(df: DataFrame, scope: Scope, countries: DataFrame) -> DataFrame:

@@ -113,8 +113,8 @@ _GOALS = (100, 500, 1_000)
 def latency_buckets(df: DataFrame, scope: Scope, *, from_timeline: bool = False) -> DataFrame:
     """Requests per speed class and share of requests under each goal.
 
-    Classes apply to single requests, or with ``from_timeline`` to the mean of each timeline bucket
-    weighted by its requests.
+    Classes apply to single measured requests, with the unmeasured (0 ms) counted apart; or with
+    ``from_timeline`` to the mean of each timeline bucket weighted by its requests, zeros included.
     """
     if from_timeline:
         from hitledger.operators.timelines import timeline
@@ -127,10 +127,11 @@ def latency_buckets(df: DataFrame, scope: Scope, *, from_timeline: bool = False)
         return F.coalesce(F.sum(F.when(test, F.col("_w")).otherwise(0)), F.lit(0))
 
     t = F.col("_t")
+    measured = F.lit(True) if from_timeline else t > 0
     classes = [
-        weight((t >= low) & (t < high) if high else t >= low).alias(f"{name}_requests") for name, low, high in _CLASSES
+        weight(measured & ((t >= low) & (t < high) if high else t >= low)).alias(f"{name}_requests") for name, low, high in _CLASSES
     ]
-    under = [weight(t < goal).alias(f"_under_{goal}") for goal in _GOALS]
-    counts = points.agg(*classes, *under, F.coalesce(F.sum("_w"), F.lit(0)).alias("total_requests"))
+    under = [weight(measured & (t < goal)).alias(f"_under_{goal}") for goal in _GOALS]
+    counts = points.agg(*classes, *under, weight(measured).alias("total_requests"), weight(~measured).alias("unmeasured_requests"))
     goals = {f"goal_{g}_percent": m.percent(F.col(f"_under_{g}"), F.col("total_requests")) for g in _GOALS}
     return counts.withColumns(goals).drop(*(f"_under_{g}" for g in _GOALS))

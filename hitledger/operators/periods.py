@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,12 +25,11 @@ from hitledger.functions.instants import (
     period_unit,
     utc,
 )
-from hitledger.functions.predicates import Scope, between, known
+from hitledger.functions.predicates import Scope, known
 from hitledger.operators.rankings import client_measures, with_tags
 from hitledger.operators.summary import summary_measures, summary_rates
 
 PERIOD = "period"
-MAX_TOP = 50
 
 
 @dataclass(frozen=True)
@@ -68,14 +69,17 @@ def preset_periods(name: str, *, as_of) -> list[Period]:
     raise ValueError(f"unknown preset: {name}")
 
 
-def top_limit(limit: int) -> int:
-    return 10 if limit <= 0 else min(limit, MAX_TOP)
-
-
 def in_periods(df: DataFrame, periods: Sequence[Period], scope: Scope = Scope(hours=0)) -> DataFrame:
-    """Requests of the periods with their ``period`` number, counted from 1."""
-    rows = scope.apply_who(between(df, min(p.start for p in periods), max(p.end for p in periods)))
+    """Requests of the periods with their ``period`` number, counted from 1.
+
+    The scan gets the periods joined by OR, with their months: what lies between them is not read.
+    """
     ts = F.col("timestamp")
+    rows = df.filter(reduce(or_, (ts.between(instant(p.start), instant(p.end)) for p in periods)))
+    if "partition_key" in df.columns:
+        month = F.col("partition_key")
+        rows = rows.filter(reduce(or_, (month.between(p.start.strftime("%Y-%m"), p.end.strftime("%Y-%m")) for p in periods)))
+    rows = scope.apply_who(rows)
     member = [F.when(ts.between(instant(p.start), instant(p.end)), F.lit(n)) for n, p in enumerate(periods, 1)]
     return rows.withColumn(PERIOD, F.explode(F.array_compact(F.array(*member))))
 
@@ -133,24 +137,26 @@ def period_heatmap(rows: DataFrame) -> DataFrame:
 
 
 def _best(grouped: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
+    if limit < 1:
+        raise ValueError("a top list needs a limit of 1 or more")
     place = F.row_number().over(Window.partitionBy(PERIOD).orderBy(F.desc("hits"), *keys))
     return grouped.withColumn("_place", place).filter(F.col("_place") <= limit).drop("_place").orderBy(PERIOD, F.desc("hits"), *keys)
 
 
 def period_top_paths(rows: DataFrame, limit: int = 10) -> DataFrame:
     grouped = rows.groupBy(PERIOD, "path").agg(m.hits(), m.visitors(), m.avg_time(), m.bandwidth("total_bandwidth"))
-    return _best(grouped, ["path"], top_limit(limit))
+    return _best(grouped, ["path"], limit)
 
 
 def period_top_ips(rows: DataFrame, tags: DataFrame, limit: int = 10) -> DataFrame:
     grouped = rows.groupBy(PERIOD, F.col("client_ip").alias("ip_address")).agg(*client_measures())
-    best = _best(grouped, ["ip_address"], top_limit(limit))
+    best = _best(grouped, ["ip_address"], limit)
     return with_tags(best, tags).orderBy(PERIOD, F.desc("hits"), "ip_address")
 
 
 def period_top_countries(rows: DataFrame, limit: int = 10) -> DataFrame:
     keyed = rows.filter(known("geo_country")).groupBy(PERIOD, F.col("geo_country").alias("country"))
-    return _best(keyed.agg(m.hits(), m.visitors(), m.bandwidth()), ["country"], top_limit(limit))
+    return _best(keyed.agg(m.hits(), m.visitors(), m.bandwidth()), ["country"], limit)
 
 
 def _service_rows(rows: DataFrame, fallback: str, errors_from: int) -> DataFrame:
@@ -162,7 +168,7 @@ def _service_rows(rows: DataFrame, fallback: str, errors_from: int) -> DataFrame
 
 
 def period_top_backends(rows: DataFrame, limit: int = 10) -> DataFrame:
-    return _best(_service_rows(rows, "", 500), ["backend_name", "service_type"], top_limit(limit))
+    return _best(_service_rows(rows, "", 500), ["backend_name", "service_type"], limit)
 
 
 def period_services(rows: DataFrame) -> DataFrame:
@@ -249,11 +255,21 @@ def metric_insights(summaries: DataFrame, count: int) -> DataFrame:
     ).orderBy(F.desc("score"), "metric")
 
 
-def entity_matrix(report: DataFrame, entity: str, count: int, *, value: str = "hits", limit: int = 50) -> DataFrame:
-    """One row per entity with its value in each period; absent periods count 0.
+def entity_counts(rows: DataFrame, column: str, entity: str, listed: DataFrame | None = None) -> DataFrame:
+    """Hits per period of the values of ``column``, named ``entity``: of all, or of those that ``listed`` has in any period.
+
+    A value's figures are its own in every period, whether or not it is in that period's list.
+    """
+    counts = rows.groupBy(PERIOD, F.col(column).alias(entity)).agg(m.hits())
+    return counts if listed is None else counts.join(listed.select(entity).distinct(), entity, "left_semi")
+
+
+def entity_matrix(report: DataFrame, entity: str, count: int, *, value: str = "hits", limit: int | None = None) -> DataFrame:
+    """One row per entity with its value in each period; a period without requests of it counts 0.
 
-    ``max_delta`` is the range, ``last_delta`` the change from first to last period. The entities
-    with the widest range come first.
+    ``report`` must hold every period's value of its entities (``entity_counts``, or a report without a
+    limit). ``max_delta`` is the range, ``last_delta`` the change from first to last period. The entities
+    with the widest range come first; ``limit`` keeps that many.
     """
     named = F.when(F.col(entity) != "", F.col(entity)).otherwise("Unknown").alias("name")
     cell = [F.sum(F.when(F.col(PERIOD) == p, F.col(value)).otherwise(0)).alias(f"p{p}") for p in range(1, count + 1)]
@@ -266,7 +282,8 @@ def entity_matrix(report: DataFrame, entity: str, count: int, *, value: str = "h
             "last_delta_percent": m.change_percent(cells[0], cells[-1]),
         }
     )
-    return out.withColumn("trend", trend_class()).orderBy(F.desc("max_delta"), "name").limit(limit)
+    ranked = out.withColumn("trend", trend_class()).orderBy(F.desc("max_delta"), "name")
+    return ranked if limit is None else ranked.limit(limit)
 
 
 def trend_class() -> Column:
@@ -275,10 +292,10 @@ def trend_class() -> Column:
     return F.when(stable, "Stable").when(change > 0, "Increasing").when(change < 0, "Decreasing").otherwise("Variable")
 
 
-def entity_insights(matrix: DataFrame, kind: str, *, considered: int = 8) -> DataFrame:
-    """Entities among the widest-ranging few that changed by 30 % or 25 units."""
+def entity_insights(matrix: DataFrame, kind: str, *, considered: int | None = None) -> DataFrame:
+    """Entities that changed by 30 % or 25 units, among the ``considered`` of the widest range or among all."""
     size, delta = F.abs("last_delta_percent"), F.abs("last_delta")
-    widest = matrix.orderBy(F.desc("max_delta"), "name").limit(considered)
+    widest = matrix if considered is None else matrix.orderBy(F.desc("max_delta"), "name").limit(considered)
     return widest.filter((size >= 30) | (delta >= 25)).select(
         F.lit(kind).alias("kind"), "name", F.col("p1").alias("before"),
         (F.col("p1") + F.col("last_delta")).alias("after"), "last_delta_percent",
@@ -287,19 +304,22 @@ def entity_insights(matrix: DataFrame, kind: str, *, considered: int = 8) -> Dat
     ).orderBy(F.desc("score"), "name")
 
 
-# Report, entity column and kind shown for each list that feeds the change analysis.
+# Report, its entity column, the request column behind it and the kind shown, for each list that feeds the change analysis.
 INSIGHT_SOURCES = [
-    ("service_breakdown", "backend_name", "Service"),
-    ("top_paths", "path", "Path"),
-    ("top_ips", "ip_address", "IP"),
-    ("top_countries", "country", "Country"),
+    ("service_breakdown", "backend_name", None, "Service"),
+    ("top_paths", "path", "path", "Path"),
+    ("top_ips", "ip_address", "client_ip", "IP"),
+    ("top_countries", "country", "geo_country", "Country"),
 ]
 
 
-def all_entity_insights(reports: dict[str, DataFrame], count: int) -> DataFrame:
+def all_entity_insights(rows: DataFrame, reports: dict[str, DataFrame], count: int, *, considered: int | None = None) -> DataFrame:
+    """Insights on the entities of the reports; ``rows`` are the requests of the periods, for their whole figures."""
     found = None
-    for report, entity, kind in INSIGHT_SOURCES:
-        part = entity_insights(entity_matrix(reports[report], entity, count), kind)
+    for report, entity, column, kind in INSIGHT_SOURCES:
+        listed = reports[report]
+        counts = listed if column is None else entity_counts(rows, column, entity, listed)
+        part = entity_insights(entity_matrix(counts, entity, count), kind, considered=considered)
         found = part if found is None else found.unionByName(part)
     return found.orderBy(F.desc("score"), "kind", "name")
 

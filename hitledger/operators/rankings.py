@@ -77,9 +77,9 @@ def top_ips(
     return _top(with_tags(best, tags), order, ["ip_address"], 0)
 
 
-def search_ips(df: DataFrame, text: str, *, as_of, limit: int = 20) -> DataFrame:
-    """Clients of the last week whose address contains ``text``."""
-    rows = Scope(as_of, 168).apply(df).filter(contains_ci(F.col("client_ip"), text))
+def search_ips(df: DataFrame, text: str, *, as_of, hours: float = 168, limit: int = 20) -> DataFrame:
+    """Clients of the window, by default a week, whose address contains ``text``."""
+    rows = Scope(as_of, hours).apply(df).filter(contains_ci(F.col("client_ip"), text))
     grouped = rows.groupBy(F.col("client_ip").alias("ip_address")).agg(
         m.hits(),
         F.max("geo_country").alias("country"),
@@ -89,9 +89,9 @@ def search_ips(df: DataFrame, text: str, *, as_of, limit: int = 20) -> DataFrame
     return _top(grouped, "hits", ["ip_address"], limit)
 
 
-def hot_ips(df: DataFrame, *, as_of, limit: int, more_than: int = 5) -> DataFrame:
-    """Clients worth keeping in a lookup cache: more than ``more_than`` requests in a week."""
-    counts = Scope(as_of, 168).apply(df).groupBy("client_ip").agg(m.hits("repetition"))
+def hot_ips(df: DataFrame, *, as_of, limit: int, hours: float = 168, more_than: int = 5) -> DataFrame:
+    """Clients worth keeping in a lookup cache: more than ``more_than`` requests in the window, by default a week."""
+    counts = Scope(as_of, hours).apply(df).groupBy("client_ip").agg(m.hits("repetition"))
     return _top(counts.filter(F.col("repetition") > more_than), "repetition", ["client_ip"], limit)
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from hitledger.functions import measures as m
 from hitledger.functions.instants import instant, utc
 from hitledger.functions.predicates import Scope, host_contains
+from hitledger.operators.rows import newest_first
 
 RATE_SECONDS, CLIENT_SECONDS, MIX_SECONDS = 5, 15, 60
 MIN_CLIENT_RATE = 0.05
@@ -90,5 +91,5 @@ def realtime_services(df: DataFrame, scope: Scope, *, host: str = "") -> DataFra
 
 def latest_requests(df: DataFrame, scope: Scope, *, host: str = "", limit: int = LATEST) -> DataFrame:
     rows = live_rows(df, scope, host=host)
-    columns = ("id", "timestamp", "method", "host", "backend_name", "path", "status_code", "response_time_ms", "geo_country", "client_ip")
-    return rows.select(*columns).orderBy(F.desc("timestamp"), F.desc("id")).limit(limit)
+    columns = ("request_hash", "timestamp", "method", "host", "backend_name", "path", "status_code", "response_time_ms", "geo_country", "client_ip")
+    return rows.select(*columns).orderBy(*newest_first()).limit(limit)

@@ -66,9 +66,8 @@ def health_widget(df: DataFrame, scope: Scope) -> DataFrame:
 
 
 def widget_summary(df: DataFrame, scope: Scope) -> DataFrame:
-    """Compact summary; windows outside 1..720 hours fall back to a day."""
-    hours = scope.hours if 0 < scope.hours <= 720 else 24
-    totals = summary(df, Scope(scope.as_of, hours, scope.services, scope.exclude))
+    """Compact summary of the scope's window."""
+    totals = summary(df, scope)
     errors = F.col("server_error_rate") + F.col("not_found_rate")
     return totals.select(
         m.traffic_health(errors).alias("status"),

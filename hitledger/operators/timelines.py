@@ -47,12 +47,10 @@ def records_timeline(df: DataFrame, *, as_of, days: int = 30) -> DataFrame:
     return by_bucket(rows, "day", m.hits("requests"))
 
 
-def widget_timeline(df: DataFrame, scope: Scope) -> DataFrame:
-    """Newest buckets only: 30 of an hourly timeline, 50 of a coarser one."""
-    hours = scope.hours if 0 < scope.hours <= 720 else 1
-    points = 50 if hours > 24 else 30
-    full = timeline(df, Scope(scope.as_of, hours, scope.services, scope.exclude))
-    newest = full.orderBy(F.desc("hour")).limit(points)
+def widget_timeline(df: DataFrame, scope: Scope, *, points: int | None = None) -> DataFrame:
+    """The timeline's newest ``points`` buckets, or all."""
+    full = timeline(df, scope)
+    newest = full.orderBy(F.desc("hour")).limit(points) if points else full
     return newest.select("hour", "requests", "bandwidth", "avg_response_time").orderBy("hour")
 
 

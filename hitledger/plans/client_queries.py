@@ -8,7 +8,7 @@ from hitledger.plans.catalog import query
 from hitledger.plans.report_queries import ALL, DAY_SCOPE, FILTERED, FILTERED_SQL, MONTH_SCOPE, WEEK
 from hitledger.plans.sample import AS_OF
 from hitledger.plans.sample_sql import (
-    AVG, AVG_ALL, BYTES, DAY, DOW, HITS, HOUR, HOUR_NO, SIX, TOTAL_BYTES, WEEK as WEEK_LABEL, base, last, pct, stamp,
+    AVG, AVG_ALL, BYTES, DAY, DOW, HASH, HITS, HOUR, HOUR_NO, SIX, TOTAL_BYTES, WEEK as WEEK_LABEL, base, last, pct, stamp,
 )
 
 _OK, _BAD = "count(*) FILTER (status_code BETWEEN 200 AND 399)", "count(*) FILTER (status_code >= 400)"
@@ -34,7 +34,7 @@ query(
 )
 query(
     "ip_stats_capped",
-    lambda s: clients.ip_stats(s.placed, None, ALL, tags=s.tags, capped=True),
+    lambda s: clients.ip_stats(s.placed, None, ALL, tags=s.tags, most_backends=100, most_paths=500),
     _profile_sql("true", "least({}, 100)", "least({}, 500)"),
 )
 for _label, _scope, _unit, _where in (
@@ -102,9 +102,9 @@ query(
 )
 query(
     "ip_recent_requests",
-    lambda s: clients.ip_recent_requests(s.plain, None, WEEK, 5).select("ip_address", "id", "timestamp", "path", "status_code"),
-    base() + f"""SELECT client_ip AS ip_address, id, {stamp('"timestamp"')} AS "timestamp", path, status_code FROM http_requests
-WHERE {last(168)} QUALIFY row_number() OVER (PARTITION BY client_ip ORDER BY http_requests."timestamp" DESC, id DESC) <= 5""".replace(
+    lambda s: clients.ip_recent_requests(s.identified, None, WEEK, 5).select("ip_address", "request_hash", "timestamp", "path", "status_code"),
+    base() + f"""SELECT client_ip AS ip_address, {HASH} AS request_hash, {stamp('"timestamp"')} AS "timestamp", path, status_code FROM http_requests
+WHERE {last(168)} QUALIFY row_number() OVER (PARTITION BY client_ip ORDER BY http_requests."timestamp" DESC, {HASH} DESC) <= 5""".replace(
         'WHERE "timestamp"', 'WHERE http_requests."timestamp"'
     ),
 )

@@ -6,16 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hitledger.functions.useragent import parse_user_agent
-from hitledger.operators.cleaning import valid_rows, with_identity
+from hitledger.operators.cleaning import validity_reason, with_identity
 from hitledger.operators.enrichment import enrich_geo
 from hitledger.schema import REQUEST_SCHEMA, conform
-from hitledger.sources.parsers import parse_logs
+from hitledger.sources.parsers import parse_logs, parse_lines, rejected
 
+REJECTS = "source_name string, reason string, value string, request_hash string"
 
-def parse_requests(lines: DataFrame, *, parser: str = "auto") -> DataFrame:
-    """Narrow part of the path, valid on streams: parse, classify the agent, identify, validate."""
+
+def judged_requests(lines: DataFrame, *, parser: str = "auto") -> DataFrame:
+    """Narrow part of the path, valid on streams: parse, classify the agent, identify; ``broken_rule`` is '' for good rows."""
     events = parse_user_agent(parse_logs(lines, parser))
-    return valid_rows(with_identity(events))
+    return with_identity(events).withColumn("broken_rule", validity_reason())
+
+
+def parse_requests(lines: DataFrame, *, parser: str = "auto") -> DataFrame:
+    return judged_requests(lines, parser=parser).filter("broken_rule = ''").drop("broken_rule")
+
+
+def refused(lines: DataFrame, judged: DataFrame) -> DataFrame:
+    """What ingest does not store: lines that no parser takes, and rows that break a rule, each with the reason."""
+    name = F.col("source_name") if "source_name" in lines.columns else F.lit("")
+    unread = rejected(parse_lines(lines.withColumn("source_name", name)))
+    unread = unread.select("source_name", F.col("reject_reason").alias("reason"), "value", F.lit("").alias("request_hash"))
+    broken = judged.filter("broken_rule <> ''").select("source_name", F.col("broken_rule").alias("reason"), F.lit("").alias("value"), "request_hash")
+    return unread.unionByName(broken)
 
 
 def finish_requests(parsed: DataFrame, places: DataFrame | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from hitledger.operators import cleaning, enrichment, tags
 from hitledger.plans.catalog import query
 from hitledger.plans.ingest import ingest
 from hitledger.plans.sample import AS_OF, Sample
-from hitledger.plans.sample_sql import base, stamp
+from hitledger.plans.sample_sql import HASH, base, stamp
 from hitledger.schema import conform
 from hitledger.session import shared_dir
 from hitledger.sources import logs, parsers, sinks
@@ -126,8 +126,7 @@ query(
 
 # --- cleaning ---
 
-_HASH = """sha256(concat_ws('|', epoch_us("timestamp") // 1000000, client_ip, method, host, path, query_string, status_code, duration, start_utc, requests_total))"""
-query("request_hash", lambda s: s.identified.select("id", "request_hash"), base() + f"SELECT id, {_HASH} AS request_hash FROM http_requests")
+query("request_hash", lambda s: s.identified.select("id", "request_hash"), base() + f"SELECT id, {HASH} AS request_hash FROM http_requests")
 query(
     "partition_key",
     lambda s: s.plain.groupBy(month_key(F.col("timestamp")).alias("partition_key")).agg(m.hits()),
@@ -147,7 +146,7 @@ def _with_copies(s: Sample) -> DataFrame:
 query(
     "dedupe",
     lambda s: cleaning.dedupe(_with_copies(s), order=("copy", "timestamp")).select("id", "request_hash", "copy"),
-    base() + f"SELECT id, {_HASH} AS request_hash, CAST(0 AS BIGINT) AS copy FROM http_requests",
+    base() + f"SELECT id, {HASH} AS request_hash, CAST(0 AS BIGINT) AS copy FROM http_requests",
 )
 query(
     "dedupe_keeps_unhashed",
@@ -162,7 +161,7 @@ query(
         s.identified.filter(F.col("id") % 2 == 0).select("id", "timestamp", "partition_key", "request_hash"),
         s.identified.filter(F.col("id") % 3 == 0).select("timestamp", "partition_key", "request_hash"),
     ).select("id", "request_hash"),
-    base() + f"SELECT id, {_HASH} AS request_hash FROM http_requests WHERE id % 2 = 0 AND id % 3 <> 0",
+    base() + f"SELECT id, {HASH} AS request_hash FROM http_requests WHERE id % 2 = 0 AND id % 3 <> 0",
 )
 
 

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from hitledger.functions import measures as m
 from hitledger.functions.predicates import Exclusion, Scope, Service
-from hitledger.operators import realtime
+from hitledger.operators import cleaning, realtime
 from hitledger.plans.catalog import query
 from hitledger.plans.report_queries import SHOP
 from hitledger.plans.sample import Sample
-from hitledger.plans.sample_sql import AVG_ALL, BYTES, base, stamp
+from hitledger.plans.sample_sql import AVG_ALL, BYTES, HASH, base, stamp
 from hitledger.session import shared_dir
 from hitledger.sources import logs, sinks
 from hitledger.streaming import ingest as stream_ingest
@@ -85,9 +85,9 @@ FROM ({_live(5)}) GROUP BY 1""",
 )
 query(
     "realtime_latest",
-    lambda s: realtime.latest_requests(s.squeezed(_MINUTE), SOME),
-    base(_fast(_MINUTE)) + f"""SELECT id, {stamp('"timestamp"')} AS "timestamp", method, host, backend_name, path, status_code, response_time_ms, geo_country, client_ip
-FROM ({_live(60, SOME_SQL)}) l ORDER BY l."timestamp" DESC, id DESC LIMIT 20""",
+    lambda s: realtime.latest_requests(cleaning.with_identity(s.squeezed(_MINUTE)), SOME),
+    base(_fast(_MINUTE)) + f"""SELECT {HASH} AS request_hash, {stamp('"timestamp"')} AS "timestamp", method, host, backend_name, path, status_code, response_time_ms, geo_country, client_ip
+FROM ({_live(60, SOME_SQL)}) l ORDER BY l."timestamp" DESC, {HASH} DESC LIMIT 20""",
 )
 
 

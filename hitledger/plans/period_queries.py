@@ -206,35 +206,50 @@ def _cells(source: str, entity: str, value: str = "hits") -> str:
     return f"SELECT {entity} AS name, {cells} FROM ({source}) GROUP BY 1"
 
 
-def _matrix(source: str, entity: str, value: str = "hits", limit: int = 50) -> str:
+def _matrix(source: str, entity: str, value: str = "hits") -> str:
     change = f"CASE WHEN p1 <> 0 THEN (p{COUNT} - p1)::DOUBLE / p1 * 100 WHEN p{COUNT} > 0 THEN 100 ELSE 0 END"
     ranges = f"SELECT *, greatest({', '.join(_P)}) - least({', '.join(_P)}) AS max_delta, p{COUNT} - p1 AS last_delta, {change} AS pct FROM ({_cells(source, entity, value)})"
     return f"""SELECT *, CASE WHEN max_delta = 0 OR abs(pct) < 5 THEN 'Stable' WHEN pct > 0 THEN 'Increasing' WHEN pct < 0 THEN 'Decreasing' ELSE 'Variable' END AS trend
-FROM ({ranges}) ORDER BY max_delta DESC, name LIMIT {limit}"""
+FROM ({ranges})"""
 
 
-for _report, _entity, _source, _value in (
-    ("top_paths", "path", _PATHS, "hits"),
-    ("top_ips", "ip_address", _IPS, "hits"),
-    ("top_countries", "country", _COUNTRIES, "hits"),
-    ("service_breakdown", "backend_name", _SERVICES, "hits"),
-    ("device_types", "device_type", _DEVICES, "count"),
+def _whole(best: str, column: str, entity: str) -> str:
+    """Hits per period of all values of a column that the list ``best`` names in any period."""
+    return f"SELECT period, {column} AS {entity}, {HITS} FROM r WHERE {column} IN (SELECT {entity} FROM ({best})) GROUP BY 1, 2"
+
+
+_ALL_PATHS, _ALL_IPS = _whole(_PATHS, "path", "path"), _whole(_IPS, "client_ip", "ip_address")
+_ALL_COUNTRIES = _whole(_COUNTRIES, "geo_country", "country")
+
+
+def _counts(s, report: str, column: str, entity: str):
+    return pd.entity_counts(_rows(s), column, entity, _BUILD[report](s))
+
+
+for _report, _column, _entity, _source, _value in (
+    ("top_paths", "path", "path", _ALL_PATHS, "hits"),
+    ("top_ips", "client_ip", "ip_address", _ALL_IPS, "hits"),
+    ("top_countries", "geo_country", "country", _ALL_COUNTRIES, "hits"),
+    ("service_breakdown", None, "backend_name", _SERVICES, "hits"),
+    ("device_types", None, "device_type", _DEVICES, "count"),
 ):
     query(
         f"compare_matrix_{_report}",
-        lambda s, report=_report, entity=_entity, value=_value: pd.entity_matrix(_BUILD[report](s), entity, COUNT, value=value),
+        lambda s, report=_report, column=_column, entity=_entity, value=_value: pd.entity_matrix(
+            _counts(s, report, column, entity) if column else _BUILD[report](s), entity, COUNT, value=value
+        ),
         _sql(f"SELECT * EXCLUDE (pct), round(pct, 6) AS last_delta_percent FROM ({_matrix(_source, _entity, _value)})"),
     )
 
 _INSIGHT_PARTS = "\nUNION ALL\n".join(
-    f"SELECT '{kind}' AS kind, * FROM ({_matrix(source, entity, limit=8)})"
+    f"SELECT '{kind}' AS kind, * FROM ({_matrix(source, entity)})"
     for kind, entity, source in (
-        ("Service", "backend_name", _SERVICES), ("Path", "path", _PATHS), ("IP", "ip_address", _IPS), ("Country", "country", _COUNTRIES),
+        ("Service", "backend_name", _SERVICES), ("Path", "path", _ALL_PATHS), ("IP", "ip_address", _ALL_IPS), ("Country", "country", _ALL_COUNTRIES),
     )
 )
 query(
     "compare_entity_insights",
-    lambda s: pd.all_entity_insights(pd.compare(s.placed, _periods(), tags=s.tags), COUNT),
+    lambda s: pd.all_entity_insights(_rows(s), pd.compare(s.placed, _periods(), tags=s.tags), COUNT),
     _sql(f"""SELECT kind, name, p1 AS before, p{COUNT} AS after, round(pct, 6) AS last_delta_percent,
   CASE WHEN abs(pct) >= 150 THEN 'high' WHEN abs(pct) >= 75 THEN 'medium' ELSE 'low' END AS severity,
   round(abs(pct) + abs(last_delta), 6) AS score, trend
@@ -252,8 +267,8 @@ _DESCRIPTION = """CASE
   ELSE 'mixed' END"""
 query(
     "compare_trend_descriptions",
-    lambda s: pd.describe_trends(pd.entity_matrix(_BUILD["top_paths"](s), "path", COUNT), COUNT),
-    _sql(f"SELECT name, {', '.join(_P)}, {_DESCRIPTION} AS trend FROM ({_matrix(_PATHS, 'path')})"),
+    lambda s: pd.describe_trends(pd.entity_matrix(_counts(s, "top_paths", "path", "path"), "path", COUNT), COUNT),
+    _sql(f"SELECT name, {', '.join(_P)}, {_DESCRIPTION} AS trend FROM ({_matrix(_ALL_PATHS, 'path')})"),
 )
 query(
     "compare_steps",

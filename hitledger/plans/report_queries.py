@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from hitledger.functions.predicates import DrillDown, Exclusion, Scope, Service
-from hitledger.operators import geo, latency, rankings, rows, services, summary, timelines
+from hitledger.operators import cleaning, clients, geo, latency, rankings, rows, services, summary, timelines
 from hitledger.plans.catalog import query
 from hitledger.plans.sample import AS_OF
 from hitledger.plans.sample_sql import (
     AVG, AVG_ALL, BYTES, DAY, DOW, HITS, HOUR, HOUR_NO, MONTH, SERVICE, SERVICE_TYPE, SIX, STATUS_CLASSES,
-    TOTAL_BYTES, VISITORS, base, last, pct, stamp,
+    HASH, TOTAL_BYTES, VISITORS, base, last, pct, stamp,
 )
+from hitledger.schema import conform
+from hitledger.session import shared_dir
+from hitledger.sources import sinks
 
 ALL = Scope(AS_OF, 0)
 DAY_SCOPE, WEEK, MONTH_SCOPE = Scope(AS_OF, 24), Scope(AS_OF, 168), Scope(AS_OF, 720)
@@ -309,7 +314,7 @@ query(
 
 query(
     "top_cities",
-    lambda s: geo.top_cities(s.placed, ALL),
+    lambda s: geo.top_cities(s.placed, ALL, 50),
     base() + f"""SELECT geo_city AS city, geo_country AS country, arg_min(geo_lat, client_ip) AS latitude, arg_min(geo_lon, client_ip) AS longitude,
   {HITS}, {BYTES} FROM http_requests WHERE geo_city <> '' AND geo_lat <> 0 AND geo_lon <> 0
 GROUP BY 1, 2 ORDER BY hits DESC, city, country LIMIT 50""",
@@ -382,7 +387,7 @@ query(
 )
 query(
     "widget_timeline",
-    lambda s: timelines.widget_timeline(s.plain, WEEK),
+    lambda s: timelines.widget_timeline(s.plain, WEEK, points=50),
     base() + f"SELECT {SIX} AS hour, count(*) AS requests, {BYTES}, {AVG_ALL} FROM http_requests WHERE {last(168)} GROUP BY 1 ORDER BY 1 DESC LIMIT 50",
 )
 
@@ -417,37 +422,126 @@ def _bucket_sql(source: str) -> str:
 query(
     "latency_buckets",
     lambda s: latency.latency_buckets(s.plain, ALL),
-    _bucket_sql("SELECT response_time_ms AS t, 1 AS w FROM http_requests"),
+    _bucket_sql("SELECT response_time_ms AS t, 1 AS w FROM http_requests WHERE response_time_ms > 0").replace(
+        " FROM points", ", (SELECT count(*) FROM http_requests WHERE response_time_ms <= 0) AS unmeasured_requests FROM points"
+    ),
 )
 query(
     "latency_buckets_of_timeline",
     lambda s: latency.latency_buckets(s.plain, WEEK, from_timeline=True),
-    _bucket_sql(f"SELECT avg(response_time_ms) AS t, count(*) AS w FROM http_requests WHERE {last(168)} GROUP BY {SIX}"),
+    _bucket_sql(f"SELECT avg(response_time_ms) AS t, count(*) AS w FROM http_requests WHERE {last(168)} GROUP BY {SIX}").replace(
+        " FROM points", ", CAST(0 AS BIGINT) AS unmeasured_requests FROM points"
+    ),
 )
 
 # --- single rows ---
 
-_ROW = ["id", "timestamp", "client_ip", "method", "path", "status_code", "response_size", "source_name"]
-_ROW_SQL = f"id, {stamp('\"timestamp\"')} AS \"timestamp\", client_ip, method, path, status_code, response_size, source_name"
-_NEWEST = 'ORDER BY http_requests."timestamp" DESC, id DESC'
+_ROW = ["request_hash", "timestamp", "client_ip", "method", "path", "status_code", "response_size", "source_name"]
+_ROW_SQL = f"{HASH} AS request_hash, {stamp('\"timestamp\"')} AS \"timestamp\", client_ip, method, path, status_code, response_size, source_name"
+_NEWEST = 'ORDER BY http_requests."timestamp" DESC, ' + HASH + " DESC"
 query(
     "recent_requests",
-    lambda s: rows.recent_requests(s.plain.select(*_ROW, "backend_name", "backend_url", "host"), FILTERED, limit=50, offset=5).select(*_ROW),
+    lambda s: rows.recent_requests(s.identified.select(*_ROW, "backend_name", "backend_url", "host"), FILTERED, limit=50, offset=5).select(*_ROW),
     base() + f"SELECT {_ROW_SQL} FROM http_requests WHERE {FILTERED_SQL} {_NEWEST} LIMIT 50 OFFSET 5",
 )
 query(
     "find_by_source",
-    lambda s: rows.find_by_source(s.plain.select(*_ROW), "traefik-0", 40),
+    lambda s: rows.find_by_source(s.identified.select(*_ROW), "traefik-0", 40),
     base() + f"SELECT {_ROW_SQL} FROM http_requests WHERE source_name = 'traefik-0' {_NEWEST} LIMIT 40",
 )
 query(
     "find_by_time_range",
-    lambda s: rows.find_by_time_range(s.plain.select(*_ROW), "2024-01-08", "2024-01-09 12:00:00", 100),
+    lambda s: rows.find_by_time_range(s.identified.select(*_ROW), "2024-01-08", "2024-01-09 12:00:00", 100),
     base() + f"""SELECT {_ROW_SQL} FROM http_requests
 WHERE http_requests."timestamp" BETWEEN TIMESTAMP '2024-01-08' AND TIMESTAMP '2024-01-09 12:00:00' {_NEWEST} LIMIT 100""",
 )
+
+
+def _some_hash(s) -> str:
+    return s.identified.filter("id = 421").first()["request_hash"]
+
+
 query(
-    "find_by_id",
-    lambda s: rows.find_by_id(s.plain.select(*_ROW), 421),
+    "find_by_hash",
+    lambda s: rows.find_by_hash(s.identified.select(*_ROW), _some_hash(s)),
     base() + f"SELECT {_ROW_SQL} FROM http_requests WHERE id = 421",
 )
+
+# --- the same on the stored table, every column that the sample sets ---
+
+_STORED = [
+    "request_hash", "timestamp", "partition_key", "source_name", "client_ip", "method", "protocol", "host", "path", "query_string", "request_scheme",
+    "status_code", "response_size", "response_time_ms", "duration", "start_utc", "requests_total", "user_agent", "browser", "browser_version", "os",
+    "os_version", "device_type", "backend_name", "backend_url", "tls_version", "geo_country", "geo_city", "geo_lat", "geo_lon", "asn", "asn_org",
+]
+_STORED_SQL = ", ".join(
+    {
+        "request_hash": f"{HASH} AS request_hash",
+        "timestamp": f"{stamp('\"timestamp\"')} AS \"timestamp\"",
+        "partition_key": "strftime(\"timestamp\", '%Y-%m') AS partition_key",
+        "response_time_ms": "round(response_time_ms, 6) AS response_time_ms",
+    }.get(c, c)
+    for c in _STORED
+)
+
+
+def _stored_requests(s):
+    path = shared_dir(s.spark, "stored")
+    sinks.append_requests(conform(cleaning.with_identity(s.placed)), path, initial=True)
+    return sinks.read_requests(s.spark, path)
+
+
+query(
+    "stored_recent_requests",
+    lambda s: rows.recent_requests(_stored_requests(s), FILTERED, limit=50, offset=5).select(*_STORED),
+    base() + f"SELECT {_STORED_SQL} FROM http_requests WHERE {FILTERED_SQL} {_NEWEST} LIMIT 50 OFFSET 5",
+)
+query(
+    "stored_by_source",
+    lambda s: rows.find_by_source(_stored_requests(s), "traefik-0", 40).select(*_STORED),
+    base() + f"SELECT {_STORED_SQL} FROM http_requests WHERE source_name = 'traefik-0' {_NEWEST} LIMIT 40",
+)
+query(
+    "stored_by_time_range",
+    lambda s: rows.find_by_time_range(_stored_requests(s), "2024-01-08", "2024-01-09 12:00:00", 100).select(*_STORED),
+    base() + f"""SELECT {_STORED_SQL} FROM http_requests
+WHERE http_requests."timestamp" BETWEEN TIMESTAMP '2024-01-08' AND TIMESTAMP '2024-01-09 12:00:00' {_NEWEST} LIMIT 100""",
+)
+query(
+    "stored_by_hash",
+    lambda s: rows.find_by_hash(_stored_requests(s), _some_hash(s), "2024-01").select(*_STORED),
+    base() + f"SELECT {_STORED_SQL} FROM http_requests WHERE id = 421 AND strftime(\"timestamp\", '%Y-%m') = '2024-01'",
+)
+query(
+    "stored_ip_recent_requests",
+    lambda s: clients.ip_recent_requests(_stored_requests(s), None, WEEK, 3).select("ip_address", *_STORED),
+    base() + f"""SELECT client_ip AS ip_address, {_STORED_SQL} FROM http_requests WHERE http_requests.{last(168)}
+QUALIFY row_number() OVER (PARTITION BY client_ip {_NEWEST}) <= 3""",
+)
+query("stored_requests", lambda s: _stored_requests(s).select(*_STORED), base() + f"SELECT {_STORED_SQL} FROM http_requests")
+
+# --- windows beyond a year ---
+
+
+def _spread(s):
+    """The requests over three years: every third one 400 days earlier, every third one 800."""
+    return s.plain.withColumn("timestamp", F.col("timestamp") - F.make_interval(days=(F.col("id") % 3 * 400).cast("int")))
+
+
+_SPREAD = base('spread AS (SELECT * REPLACE ("timestamp" - to_days(CAST(id % 3 * 400 AS INTEGER)) AS "timestamp") FROM http_requests)')
+query(
+    "summary_two_years",
+    lambda s: summary.summary(_spread(s), Scope(AS_OF, 17_520)),
+    _summary_sql(last(17_520), "17520").replace(base(), _SPREAD).replace("FROM http_requests WHERE", "FROM spread WHERE"),
+)
+query(
+    "ip_heatmap_long",
+    lambda s: clients.ip_heatmap(_spread(s), None, Scope(AS_OF, 0), days=500),
+    _SPREAD + f"""SELECT client_ip AS ip_address, {DOW} AS day_of_week, {HOUR_NO} AS hour, count(*) AS requests, {AVG_ALL}
+FROM spread WHERE {last(12_000)} GROUP BY 1, 2, 3""",
+)
+query(
+    "records_timeline_long",
+    lambda s: timelines.records_timeline(_spread(s), as_of=AS_OF, days=500),
+    _SPREAD + f"SELECT {DAY} AS hour, count(*) AS requests FROM spread WHERE {last(12_000)} GROUP BY 1",
+)

@@ -94,6 +94,9 @@ DOW = "CAST(dayofweek(\"timestamp\") AS BIGINT)"
 HOUR_NO = "CAST(hour(\"timestamp\") AS BIGINT)"
 
 
+HASH = """sha256(concat_ws('|', epoch_us("timestamp") // 1000000, client_ip, method, host, path, query_string, status_code, duration, start_utc, requests_total))"""
+
+
 def stamp(expr: str) -> str:
     return f"strftime({expr}, '%Y-%m-%d %H:%M:%S.%f')"
 

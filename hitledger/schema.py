@@ -15,6 +15,7 @@ _TYPES = {
     "l": T.LongType(),
     "d": T.DoubleType(),
     "t": T.TimestampType(),
+    "b": T.BooleanType(),
 }
 
 # Column names and types of the stored request table.
@@ -70,6 +71,7 @@ geo_lon d
 asn i
 asn_org s
 created_at t
+timestamp_defaulted b
 """
 
 

@@ -13,6 +13,7 @@ ENGINE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
 }
 
 
@@ -33,10 +34,13 @@ def apply_engine_conf(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder.
+    """A fresh folder below the shared folder that ``spark.checkpoint.dir`` names.
 
-    ``spark.checkpoint.dir`` wins when the cluster names one; a local temporary folder is the
-    fallback for single-machine runs such as the tests.
+    Where the session names none, which only a single machine may do, one below the system's temporary
+    folder is set for it.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hitledger-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = f"{tempfile.gettempdir()}/checkpoints"
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/hitledger-{purpose}-{uuid.uuid4().hex[:12]}"

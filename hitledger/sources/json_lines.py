@@ -1,14 +1,11 @@
 """JSON log lines by fixed schemas, with the type rules of the log formats.
 
-``from_json`` reads a number where text is declared; the readers here look at the raw line to tell
-``"key":5`` from ``"key":"5"`` where that matters. A key of the same name inside a nested object
-could mislead them; log lines do not repeat keys.
+``from_json`` reads a number where text is declared. Where it matters, the readers here ask the parsed line,
+a variant, for the type at the value's path, to tell ``"key":5`` from ``"key":"5"``.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,20 +30,24 @@ upstream struct<address: string, status: string, duration: string>
 """
 
 
-def quoted(line: Column, key: str) -> Column:
-    """Whether the value of ``key`` is written as text."""
-    return F.contains(line, F.lit(f'"{key}":"')) | line.rlike(rf'"{re.escape(key)}"\s*:\s*"')
+def _at(doc: Column, keys: tuple[str, ...]) -> Column:
+    return F.try_variant_get(doc, "$" + "".join(f"['{k}']" for k in keys), "variant")
+
+
+def quoted(doc: Column, *keys: str) -> Column:
+    """Whether the value at the path is written as text."""
+    return F.coalesce(F.schema_of_variant(_at(doc, keys)) == "STRING", F.lit(False))
 
 
-def present(line: Column, value: Column, key: str) -> Column:
-    """Whether ``key`` occurs at all, with null counted as occurring."""
-    return value.isNotNull() | line.rlike(rf'"{re.escape(key)}"\s*:\s*null')
+def present(doc: Column, *keys: str) -> Column:
+    """Whether the path occurs at all, with null counted as occurring."""
+    return _at(doc, keys).isNotNull()
 
 
-def text(line: Column, value: Column, key: str) -> Column:
+def text(doc: Column, value: Column, *keys: str) -> Column:
     """Text value; '' when absent or of another type."""
     plain = ~value.rlike(r"^[-0-9tf\[{]")
-    return F.when(plain | quoted(line, key), value).otherwise("")
+    return F.when(plain | quoted(doc, *keys), value).otherwise("")
 
 
 def number(value: Column) -> Column:
@@ -64,9 +65,9 @@ def lenient_number(value: Column) -> Column:
     return F.coalesce(value.try_cast("double"), F.lit(0.0))
 
 
-def lenient_whole(line: Column, value: Column, key: str) -> Column:
+def lenient_whole(doc: Column, value: Column, *keys: str) -> Column:
     """Whole number, quoted or not; a fraction is cut, but a quoted fraction is no number."""
-    cut = F.when(~quoted(line, key), value.try_cast("double").try_cast("bigint"))
+    cut = F.when(~quoted(doc, *keys), value.try_cast("double").try_cast("bigint"))
     return F.coalesce(value.try_cast("bigint"), cut, F.lit(0))
 
 

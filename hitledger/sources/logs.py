@@ -26,7 +26,7 @@ def _with_origin(lines: DataFrame, parser: str) -> DataFrame:
     path = F.col("_metadata.file_path")
     rows = lines.select(
         "value", source_name(path, parser).alias("source_name"), path.alias("file_path"),
-        F.col("_metadata.file_size").alias("file_size"),
+        F.col("_metadata.file_size").alias("file_size"), F.col("_metadata.file_modification_time").alias("ingest_time"),
     )
     return rows.filter(F.col("value") != "")
 
@@ -34,6 +34,8 @@ def _with_origin(lines: DataFrame, parser: str) -> DataFrame:
 def read_lines(spark: SparkSession, path, *, parser: str = "traefik", modified_after: str | None = None) -> DataFrame:
     """Non-empty lines of log files with source name and file facts.
 
+    ``ingest_time``, for lines with an unreadable time, is when their file was written: reading a file
+    again gives the same rows.
     ``modified_after`` skips whole files by modification time without opening them.
     """
     options = {"modifiedAfter": modified_after} if modified_after else {}
@@ -62,14 +64,8 @@ def sniff_sources(lines: DataFrame) -> DataFrame:
     placed = lines.select("file_path", "value", F.monotonically_increasing_id().alias("place"))
     first = placed.groupBy("file_path").agg(F.min_by("value", "place").alias("value"))
     line = F.col("value")
-    doc = F.when(F.startswith(line, F.lit("{")), F.from_json(line, jl.FLAT_SCHEMA))
-    looked = detect_format(first).withColumn("doc", doc)
-
-    def marked(key: str) -> Column:
-        value = F.col("doc").getField(key)
-        return jl.present(line, value.cast("string"), key).cast("int")
-
-    marks = [F.coalesce(marked(k), F.lit(0)) for k in fv.FLAT_JSON_FILE_KEYS]
+    looked = detect_format(first).withColumn("doc", F.when(F.startswith(line, F.lit("{")), F.try_parse_json(line)))
+    marks = [jl.present(F.col("doc"), k).cast("int") for k in fv.FLAT_JSON_FILE_KEYS]
     markers = reduce(add, marks)
     clf = F.col("log_format").isin(PROXY_CLF, PLAIN_CLF)
     parser = F.when((markers >= 2) | clf, "traefik").when(F.col("log_format") == NESTED_JSON, "caddy")

@@ -36,12 +36,17 @@ def _line() -> Column:
     return F.col("value")
 
 
+def _doc() -> Column:
+    """The JSON line as a variant."""
+    return F.col("_doc")
+
+
 def _flat(key: str) -> Column:
     return F.col("_flat").getField(key)
 
 
 def _flat_text(key: str) -> Column:
-    return F.trim(jl.text(_line(), _flat(key), key))
+    return F.trim(jl.text(_doc(), _flat(key), key))
 
 
 def _nested(*keys: str) -> Column:
@@ -60,12 +65,13 @@ def _decode(df: DataFrame, dialects: Sequence[str]) -> DataFrame:
     is_json = F.startswith(line, F.lit("{"))
     nothing = F.lit(None)
 
+    df = df.withColumn("_doc", F.when(is_json, F.try_parse_json(line)))
     nested_format = nothing.cast("string")
     if NESTED_JSON in dialects:
         doc = F.when(is_json & F.contains(line, F.lit(fv.NESTED_JSON_LOGGER)), F.from_json(line, jl.NESTED_SCHEMA))
         df = df.withColumn("_nested", doc)
-        logger = F.startswith(jl.text(line, _nested("logger"), "logger"), F.lit(fv.NESTED_JSON_LOGGER))
-        has_request = _nested("request").isNotNull() | line.rlike(r'"request"\s*:')
+        logger = F.startswith(jl.text(_doc(), _nested("logger"), "logger"), F.lit(fv.NESTED_JSON_LOGGER))
+        has_request = jl.present(_doc(), "request")
         nested_format = F.when(F.col("_nested").isNotNull() & logger & has_request, NESTED_JSON)
     df = df.withColumn("_nested_format", nested_format)
 
@@ -74,7 +80,7 @@ def _decode(df: DataFrame, dialects: Sequence[str]) -> DataFrame:
         df = df.withColumn("_flat", F.when(is_json & F.col("_nested_format").isNull(), F.from_json(line, jl.FLAT_SCHEMA)))
 
         def any_key(keys: Sequence[str]) -> Column:
-            return reduce(or_, (jl.present(line, _flat(k), k) for k in keys))
+            return reduce(or_, (jl.present(_doc(), k) for k in keys))
 
         flat_format = F.when(F.col("_flat").isNotNull() & any_key(fv.FLAT_JSON_TIME_KEYS) & any_key(fv.FLAT_JSON_CLIENT_KEYS), FLAT_JSON)
     df = df.withColumn("_json_format", F.coalesce("_nested_format", flat_format))
@@ -89,7 +95,7 @@ def _decode(df: DataFrame, dialects: Sequence[str]) -> DataFrame:
 
 def detect_format(df: DataFrame, *, dialects: Sequence[str] = ALL_DIALECTS) -> DataFrame:
     """Add ``log_format``: dialect of each line in ``value``, or null."""
-    return _decode(df, dialects).drop("_flat", "_nested", "_clf")
+    return _decode(df, dialects).drop("_flat", "_nested", "_clf", "_doc")
 
 
 def _undash(part: Column) -> Column:
@@ -156,8 +162,8 @@ def tls_cipher_name(code: Column) -> Column:
 def _flat_json_columns() -> dict[str, Column]:
     text = _flat_text
     nanos = jl.number(_flat("Duration"))
-    raw = lambda key: jl.text(_line(), _flat(key), key)
-    stamp = F.when(jl.present(_line(), _flat("time"), "time"), raw("time")).otherwise(raw("StartUTC"))
+    raw = lambda key: jl.text(_doc(), _flat(key), key)
+    stamp = F.when(jl.present(_doc(), "time"), raw("time")).otherwise(raw("StartUTC"))
     host, port = split_host_port(F.col("_client"))
     method, target = text("RequestMethod"), text("RequestPath")
     return {
@@ -217,8 +223,8 @@ def _clf_columns() -> dict[str, Column]:
 
 
 def _nested_json_columns() -> dict[str, Column]:
-    text = lambda *keys: jl.text(_line(), _nested(*keys), keys[-1])
-    whole = lambda *keys: jl.lenient_whole(_line(), _nested(*keys), keys[-1])
+    text = lambda *keys: jl.text(_doc(), _nested(*keys), *keys)
+    whole = lambda *keys: jl.lenient_whole(_doc(), _nested(*keys), *keys)
     header = lambda name: jl.first_of_list(_nested("request", "headers"), name)
     ts = jl.lenient_number(_nested("ts"))
     seconds = ts.try_cast("bigint")

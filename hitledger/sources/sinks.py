@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
 from datetime import timedelta
 
 from pyspark import StorageLevel
@@ -11,7 +13,6 @@ from pyspark.sql import functions as F
 from hitledger.functions.instants import utc
 from hitledger.operators.cleaning import dedupe, new_only, retain
 from hitledger.schema import REQUEST_SCHEMA
-from hitledger.session import shared_dir
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -19,20 +20,37 @@ def _file_system(spark: SparkSession, path: str):
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
 
 
+def _path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, where = _file_system(spark, path)
     return fs.exists(where)
 
 
-def read_requests(spark: SparkSession, path: str) -> DataFrame:
-    """The stored table; month partitions stay text, as the filters expect."""
-    return spark.read.schema(REQUEST_SCHEMA).parquet(path).select(*REQUEST_SCHEMA.names)
+def months_of(spark: SparkSession, path: str) -> list[str]:
+    """The months the table has, by the names of its folders."""
+    fs, root = _file_system(spark, path)
+    if not fs.exists(root):
+        return []
+    names = [status.getPath().getName() for status in fs.listStatus(root) if status.isDirectory()]
+    return sorted(n.removeprefix("partition_key=") for n in names if n.startswith("partition_key="))
+
+
+def read_requests(spark: SparkSession, path: str, months: Sequence[str] | None = None) -> DataFrame:
+    """The stored table, or only the folders of ``months``; month partitions stay text, as the filters expect."""
+    folders = [path] if months is None else [f"{path}/partition_key={m}" for m in months]
+    if not folders:
+        return spark.createDataFrame([], REQUEST_SCHEMA)
+    return spark.read.schema(REQUEST_SCHEMA).option("basePath", path).parquet(*folders).select(*REQUEST_SCHEMA.names)
 
 
 def write_requests(df: DataFrame, path: str, *, mode: str = "append") -> None:
     """Write by month. The rebalance step sizes files to the advisory partition size, splitting a
-    month that holds most rows and merging small ones; files are sorted by time so that row-group
-    statistics prune time filters."""
+    month that holds most rows and merging small ones; files are sorted by time. Times are written as
+    64-bit microseconds, the form that carries row-group statistics, so that time filters skip row groups."""
+    df.sparkSession.conf.set("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")
     laid_out = df.hint("rebalance", F.col("partition_key")).sortWithinPartitions("partition_key", "timestamp")
     laid_out.write.mode(mode).partitionBy("partition_key").parquet(path)
 
@@ -40,52 +58,80 @@ def write_requests(df: DataFrame, path: str, *, mode: str = "append") -> None:
 def append_requests(batch: DataFrame, path: str, *, initial: bool = False) -> None:
     """Append rows (all with a request hash) that are neither repeated in the batch nor stored already.
 
-    ``initial`` is the bulk load into an empty table: only the batch itself is de-duplicated.
-    Running the same batch again adds nothing, so a retried micro-batch is harmless.
+    The batch is de-duplicated first, so a request that fills most of it meets the stored rows once. Only the
+    batch's months are listed and read. ``initial`` is the bulk load into an empty table: only the batch itself
+    is de-duplicated. Running the same batch again adds nothing, so a retried micro-batch is harmless.
     """
-    spark = batch.sparkSession
-    if initial or not exists(spark, path):
-        write_requests(dedupe(batch, all_hashed=True), path)
+    spark, batch = batch.sparkSession, dedupe(batch, all_hashed=True)
+    present = [] if initial else months_of(spark, path)
+    if not present:
+        write_requests(batch, path)
         return
     # The batch is read for its time span, its months and its rows; keep the parsed form meanwhile.
     batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        write_requests(dedupe(new_only(batch, read_requests(spark, path)), all_hashed=True), path)
+        touched = {r[0] for r in batch.select("partition_key").distinct().collect()}  # one row for each month
+        stored = read_requests(spark, path, [m for m in present if m in touched])
+        write_requests(new_only(batch, stored), path)
     finally:
         batch.unpersist()
 
 
+def _replace_month(spark: SparkSession, path: str, month: str, rows: DataFrame, expected: int) -> None:
+    """Put ``rows`` in the place of a month, or remove it if there are none.
+
+    They are written beside the table's months, on the table's own file system, and counted before anything is
+    moved. Readers skip folders that begin with an underscore. If a step fails, the month or, in the instant
+    between the two renames, its set-aside copy is still there.
+    """
+    fs, root = _file_system(spark, path)
+    new = f"{path}/_new-{uuid.uuid4().hex[:12]}"
+    write_requests(rows, new, mode="errorifexists")
+    written = spark.read.schema(REQUEST_SCHEMA).parquet(new).count()
+    if written != expected:
+        fs.delete(_path(spark, new), True)
+        raise RuntimeError(f"month {month}: {written} rows written, {expected} expected; the month is unchanged")
+    live, aside = _path(spark, f"{path}/partition_key={month}"), _path(spark, f"{path}/_old-{uuid.uuid4().hex[:12]}")
+    if not fs.rename(live, aside):
+        raise RuntimeError(f"month {month} could not be set aside")
+    if expected and not fs.rename(_path(spark, f"{new}/partition_key={month}"), live):
+        fs.rename(aside, live)
+        raise RuntimeError(f"month {month} could not be replaced and was put back")
+    fs.delete(aside, True)
+    fs.delete(_path(spark, new), True)
+
+
 def apply_retention(spark: SparkSession, path: str, *, as_of, days: int = 60) -> list[str]:
-    """Delete rows older than ``days``: whole old months by directory, the boundary month by rewrite.
+    """Delete rows older than ``days``: whole old months by folder, the boundary month by rewrite.
 
-    The survivors of the boundary month go to a staging folder first, so the rewrite never reads
-    what it replaces. Returns the months dropped.
+    Returns the months dropped.
     """
     if days <= 0:
         return []
     boundary = (utc(as_of) - timedelta(days=days)).strftime("%Y-%m")
-    stored = read_requests(spark, path)
-    # One row per month of stored data; answered from directory names.
-    months = [r[0] for r in stored.select("partition_key").distinct().collect()]
-    old = sorted(mth for mth in months if mth < boundary)
-    fs, root = _file_system(spark, path)
+    months = months_of(spark, path)
+    old = [m for m in months if m < boundary]
+    fs, _ = _file_system(spark, path)
     for month in old:
-        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(root, f"partition_key={month}"), True)
+        fs.delete(_path(spark, f"{path}/partition_key={month}"), True)
     if boundary in months:
-        edge = read_requests(spark, path).filter(F.col("partition_key") == boundary)
-        staging = shared_dir(spark, "retention")
-        survivors = retain(edge, as_of=as_of, days=days)
-        survivors.write.parquet(staging)
-        kept = spark.read.schema(REQUEST_SCHEMA).parquet(staging)
-        if kept.isEmpty():
-            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(root, f"partition_key={boundary}"), True)
+        kept = retain(read_requests(spark, path, [boundary]), as_of=as_of, days=days)
+        left = kept.count()
+        _replace_month(spark, path, boundary, kept, left)
+        if not left:
             old.append(boundary)
-        else:
-            rewritten = kept.hint("rebalance").sortWithinPartitions("timestamp").write.mode("overwrite")
-            rewritten.option("partitionOverwriteMode", "dynamic").partitionBy("partition_key").parquet(path)
     return old
 
 
+def compact(spark: SparkSession, path: str, months: Sequence[str] | None = None) -> list[str]:
+    """Rewrite months into files of the advisory size, sorted by time, as many small appends call for."""
+    done = [m for m in months_of(spark, path) if months is None or m in months]
+    for month in done:
+        rows = read_requests(spark, path, [month])
+        _replace_month(spark, path, month, rows, rows.count())
+    return done
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     """Any report as CSV with a header line."""
     df.write.mode("overwrite").option("header", True).csv(path)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from hitledger.plans.ingest import finish_requests, parse_requests
+from hitledger.plans.ingest import finish_requests, judged_requests, refused
 from hitledger.sources.sinks import append_requests
 
 
@@ -26,18 +27,28 @@ def start_ingest(
     *,
     parser: str = "auto",
     places: Callable[[DataFrame], DataFrame] | None = None,
-    interval: str | None = "500 milliseconds",
+    rejects_path: str | None = None,
+    interval: str | None = "30 seconds",
 ) -> StreamingQuery:
     """Parse, enrich, de-duplicate and append each micro-batch.
 
     ``places`` maps a batch's client addresses to their places, so only addresses seen in the batch
-    are looked up. ``interval=None`` processes what is there and stops.
+    are looked up. ``rejects_path`` takes what is not stored, with reasons, by batch number: a retried batch
+    replaces its own. ``interval=None`` processes what is there and stops. Every batch adds a file or more to
+    the months it touches; ``sinks.compact`` merges them.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        dimension = places(batch.select("client_ip").distinct()) if places else None
-        append_requests(finish_requests(batch, dimension), table_path)
+        judged = judged_requests(batch, parser=parser).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            good = judged.filter("broken_rule = ''").drop("broken_rule")
+            dimension = places(good.select("client_ip").distinct()) if places else None
+            append_requests(finish_requests(good, dimension), table_path)
+            if rejects_path:
+                refused(batch, judged).write.mode("overwrite").parquet(f"{rejects_path}/batch={batch_id}")
+        finally:
+            judged.unpersist()
 
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
-    writer = parse_requests(lines, parser=parser).writeStream.foreachBatch(store)
+    writer = lines.writeStream.foreachBatch(store)
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()

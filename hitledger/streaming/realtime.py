@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from hitledger.functions import measures as m
 from hitledger.functions.instants import traffic_unit
 from hitledger.functions.predicates import Scope, host_contains
+from hitledger.operators.rows import newest_first
 from hitledger.operators.realtime import (
     CLIENT_SECONDS,
     LATEST,
@@ -86,7 +87,7 @@ def service_rates(rows: DataFrame, *, slide: int = 1) -> DataFrame:
 def merge_latest(batch: DataFrame, previous: DataFrame | None, limit: int = LATEST) -> DataFrame:
     """Newest requests of a batch and the previous newest ones (for ``foreachBatch``)."""
     rows = batch if previous is None else batch.unionByName(previous.select(*batch.columns))
-    return rows.orderBy(F.desc("timestamp"), F.desc("id")).limit(limit)
+    return rows.orderBy(*newest_first()).limit(limit)
 
 
 _TUMBLING = {"hour": "1 hour", "6h": "6 hours", "day": "1 day"}

@@ -4,11 +4,11 @@ from hitledger.session import build_session
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "local[4]",
         app="hitledger-tests",
-        **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"},
+        **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g", "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))},
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
@@ -23,11 +23,10 @@ def requests_of(spark):
 
     def build(*rows: dict):
         names = sorted({k for r in rows for k in r})
-        types = {f.name: f.dataType.simpleString() for f in REQUEST_SCHEMA.fields} | {"id": "bigint"}
+        types = {f.name: f.dataType.simpleString() for f in REQUEST_SCHEMA.fields}
         schema = ", ".join(f"{n} {types[n]}" for n in names)
         data = [tuple(utc(r[n]) if types[n] == "timestamp" and n in r else r.get(n) for n in names) for r in rows]
         df = spark.createDataFrame(data, schema)
-        full = conform(df)
-        return full if "id" not in names else df.select("id", *[c for c in names if c != "id"])
+        return conform(df)
 
     return build

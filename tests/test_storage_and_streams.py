@@ -120,7 +120,7 @@ def test_source_names(spark):
 def test_latest_rows_carry_over_between_batches(spark):
     from hitledger.streaming.realtime import merge_latest
 
-    rows = lambda *ids: spark.createDataFrame([(i, i * 1.0) for i in ids], "id bigint, timestamp double")
+    rows = lambda *ids: spark.createDataFrame([(str(i), i * 1.0) for i in ids], "request_hash string, timestamp double")
     first = merge_latest(rows(1, 5, 3), None, 2)
     second = merge_latest(rows(4, 2), first, 3)
-    assert [r["id"] for r in second.collect()] == [5, 4, 3]
+    assert [r["request_hash"] for r in second.collect()] == ["5", "4", "3"]
