@@ -53,9 +53,9 @@ def lookup_ips(ips: DataFrame, *, city: DataFrame | None = None, country: DataFr
     the city table has no range; the network table is separate. Addresses without a hit, and texts
     that are no address, get '' and 0. Nested ranges: the narrowest wins.
 
-    An address can only lie in ranges whose key is one of its own prefixes, so it is expanded to
-    those (9 for IPv4, 33 for IPv6) and matched by equality; the range test is a residual. All
-    tables share one join.
+    An address can only lie in ranges whose key is one of its own prefixes, so it is expanded to those
+    of a length that the tables have, and matched by equality; the range test is a residual. All tables
+    share one join, and addresses without a range come out of it too.
     """
     tables = {"city": city, "country": country, "asn": asn}
     given = [prepare_ranges(t, kind) for kind, t in tables.items() if t is not None]
@@ -67,12 +67,12 @@ def lookup_ips(ips: DataFrame, *, city: DataFrame | None = None, country: DataFr
         ranges = ranges.unionByName(table)
 
     width = F.length("_key")
-    prefixes = F.transform(F.sequence(F.lit(0), width), lambda n: F.substring(F.col("_key"), F.lit(1), n))
-    spread = addresses.filter(F.col("_key").isNotNull()).select(
-        "client_ip", "_key", width.alias("_family"), F.explode(prefixes).alias("_prefix")
-    )
+    lengths = sorted(r[0] for r in ranges.select(F.length("_prefix")).distinct().collect())  # 33 at most
+    usable = F.filter(F.array(*(F.lit(n) for n in lengths or [0])), lambda n: n <= width)
+    prefixes = F.transform(usable, lambda n: F.substring(F.col("_key"), F.lit(1), n))
+    spread = addresses.select("client_ip", "_key", width.alias("_width"), F.explode_outer(prefixes).alias("_own"))
     inside = (F.col("_key") >= F.col("_start")) & (F.col("_key") <= F.col("_end"))
-    hits = spread.join(ranges, ["_family", "_prefix"]).filter(inside)
+    hits = spread.join(ranges, (F.col("_width") == F.col("_family")) & (F.col("_own") == F.col("_prefix")) & inside, "left")
 
     # Of nested ranges the narrowest ends first; of those ending together it starts last.
     late_start_first = F.translate("_start", "0123456789abcdef", "fedcba9876543210")
@@ -80,7 +80,7 @@ def lookup_ips(ips: DataFrame, *, city: DataFrame | None = None, country: DataFr
     best = hits.groupBy("client_ip").agg(
         *(F.min_by(F.when(F.col("_kind") == k, F.col("_place")), F.when(F.col("_kind") == k, narrowness)).alias(f"_{k}") for k in _KINDS)
     )
-    placed = ips.select("client_ip").distinct().join(best, "client_ip", "left")
+    placed = best
     has_city = F.col("_city").isNotNull()
 
     def place(field: str, *, fallback: bool = False) -> Column:

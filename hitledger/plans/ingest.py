@@ -9,9 +9,7 @@ from hitledger.functions.useragent import parse_user_agent
 from hitledger.operators.cleaning import validity_reason, with_identity
 from hitledger.operators.enrichment import enrich_geo
 from hitledger.schema import REQUEST_SCHEMA, conform
-from hitledger.sources.parsers import parse_logs, parse_lines, rejected
-
-REJECTS = "source_name string, reason string, value string, request_hash string"
+from hitledger.sources.parsers import parse_lines, parse_logs, rejected
 
 
 def judged_requests(lines: DataFrame, *, parser: str = "auto") -> DataFrame:
@@ -26,10 +24,13 @@ def parse_requests(lines: DataFrame, *, parser: str = "auto") -> DataFrame:
 
 def refused(lines: DataFrame, judged: DataFrame) -> DataFrame:
     """What ingest does not store: lines that no parser takes, and rows that break a rule, each with the reason."""
-    name = F.col("source_name") if "source_name" in lines.columns else F.lit("")
-    unread = rejected(parse_lines(lines.withColumn("source_name", name)))
+
+    def named(df: DataFrame) -> DataFrame:
+        return df if "source_name" in df.columns else df.withColumn("source_name", F.lit(""))
+
+    unread = rejected(parse_lines(named(lines)))
     unread = unread.select("source_name", F.col("reject_reason").alias("reason"), "value", F.lit("").alias("request_hash"))
-    broken = judged.filter("broken_rule <> ''").select("source_name", F.col("broken_rule").alias("reason"), F.lit("").alias("value"), "request_hash")
+    broken = named(judged).filter("broken_rule <> ''").select("source_name", F.col("broken_rule").alias("reason"), F.lit("").alias("value"), "request_hash")
     return unread.unionByName(broken)
 
 

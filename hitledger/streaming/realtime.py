@@ -2,7 +2,7 @@
 
 Input is a streaming DataFrame with the request columns; ``timestamp`` must be a timestamp with
 time zone semantics (cast parquet's zone-less type first). Windows are labelled by their end. The
-slide is a parameter: every row enters ``width / slide`` windows.
+slide is a parameter: rows are added up per slide, and every sum enters ``width / slide`` windows.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from hitledger.operators.realtime import (
     MIX_SECONDS,
     RATE_SECONDS,
     TOP_CLIENTS,
-    client_measures_live,
     client_rates,
     live_service_name,
 )
@@ -34,36 +33,49 @@ def live(stream: DataFrame, scope: Scope = Scope(hours=0), *, host: str = "", wa
     return scope.apply_who(rows).withWatermark("timestamp", watermark)
 
 
-def _windowed(rows: DataFrame, seconds: int, slide: int, keys: list[Column], *measures: Column) -> DataFrame:
-    span = F.window("timestamp", f"{seconds} seconds", f"{slide} seconds").alias("_window")
-    grouped = rows.groupBy(span, *keys).agg(*measures)
+def _windowed(rows: DataFrame, seconds: int, slide: int, keys: dict[str, Column], *sums: Column, first: Column | None = None) -> DataFrame:
+    """Sums, and the least ``first``, per sliding window, in two steps.
+
+    Rows are added up per slide first; only those sums, not the rows, are copied into the windows that hold
+    them. ``seconds`` is a multiple of ``slide``.
+    """
+    if seconds % slide:
+        raise ValueError("a window must be a multiple of its slide")
+    least = [] if first is None else [F.min(first).alias("_first")]
+    steps = rows.groupBy(F.window("timestamp", f"{slide} seconds").alias("_step"), *(c.alias(n) for n, c in keys.items())).agg(*sums, *least)
+    names = [c for c in steps.columns if c not in ("_step", "_first", *keys)]
+    span = F.window("_step", f"{seconds} seconds", f"{slide} seconds").alias("_window")
+    least = [] if first is None else [F.min("_first").alias("_first")]
+    grouped = steps.groupBy(span, *keys).agg(*(F.sum(n).alias(n) for n in names), *least)
     return grouped.withColumn("window_end", F.col("_window.end")).drop("_window")
 
 
 def rates(rows: DataFrame, *, slide: int = 1) -> DataFrame:
     """Requests, errors and bytes per second and mean response time over 5 s."""
     grouped = _windowed(
-        rows, RATE_SECONDS, slide, [],
-        m.hits("_n"), F.count_if(m.status_between(400)).alias("_errors"), m.bandwidth("_bytes"), m.avg_time_all(),
+        rows, RATE_SECONDS, slide, {},
+        m.hits("_n"), F.count_if(m.status_between(400)).alias("_errors"), m.bandwidth("_bytes"), F.sum("response_time_ms").alias("_time"),
     )
     return grouped.select(
         "window_end",
         (F.col("_n") / RATE_SECONDS).alias("request_rate"),
         (F.col("_errors") / RATE_SECONDS).alias("error_rate"),
         (F.col("_bytes") / RATE_SECONDS).alias("bandwidth_rate"),
-        "avg_response_time",
+        (F.col("_time") / F.col("_n")).alias("avg_response_time"),
     )
 
 
 def status_mix(rows: DataFrame, *, slide: int = 1) -> DataFrame:
     """2xx, 4xx and 5xx counts over 60 s."""
     counts = [c for n, c in zip("2345", m.status_class_counts()) if n != "3"]
-    return _windowed(rows, MIX_SECONDS, slide, [], *counts).select("window_end", "status_2xx", "status_4xx", "status_5xx")
+    return _windowed(rows, MIX_SECONDS, slide, {}, *counts).select("window_end", "status_2xx", "status_4xx", "status_5xx")
 
 
 def client_activity(rows: DataFrame, *, slide: int = 1) -> DataFrame:
     """Rate, bytes and country per client over 15 s; rank it per window in the sink."""
-    return client_rates(_windowed(rows, CLIENT_SECONDS, slide, [F.col("client_ip").alias("ip")], *client_measures_live()))
+    located = F.when(F.col("geo_country") != "", F.struct("timestamp", "geo_country"))
+    grouped = _windowed(rows, CLIENT_SECONDS, slide, {"ip": F.col("client_ip")}, m.hits("_n"), m.bandwidth(), first=located)
+    return client_rates(grouped.withColumn("country", F.coalesce(F.col("_first")["geo_country"], F.lit(""))).drop("_first"))
 
 
 def top_clients(batch: DataFrame, limit: int = TOP_CLIENTS) -> DataFrame:
@@ -74,7 +86,7 @@ def top_clients(batch: DataFrame, limit: int = TOP_CLIENTS) -> DataFrame:
 
 def service_rates(rows: DataFrame, *, slide: int = 1) -> DataFrame:
     grouped = _windowed(
-        rows, RATE_SECONDS, slide, [live_service_name().alias("service_name")], m.hits("_n"), m.bandwidth("_bytes")
+        rows, RATE_SECONDS, slide, {"service_name": live_service_name()}, m.hits("_n"), m.bandwidth("_bytes")
     )
     return grouped.filter(F.col("service_name") != "").select(
         "window_end",
