@@ -178,6 +178,23 @@ WHERE date_trunc('hour', "timestamp") + INTERVAL 1 HOUR <= (SELECT max("timestam
 )
 
 
+def _visitor_errors(s: Sample) -> DataFrame:
+    """Whether the streamed timeline's approximate visitors are within a tenth of the exact ones."""
+    found = _streamed(s, lambda r: stream.stream_timeline(stream.live(r), 24), rows=s.placed)
+    hour = F.date_trunc("hour", "timestamp").alias("bucket_start")
+    exact = s.placed.groupBy(hour).agg(F.count_distinct("client_ip").alias("exact"))
+    near = F.abs(F.col("unique_visitors") - F.col("exact")) <= F.col("exact") * 0.1 + 1
+    return found.join(exact, "bucket_start").select("bucket_start", near.alias("near"))
+
+
+query(
+    "stream_timeline_visitors",
+    _visitor_errors,
+    base() + f"""SELECT DISTINCT {stamp('date_trunc(\'hour\', "timestamp")')} AS bucket_start, true AS near FROM http_requests
+WHERE date_trunc('hour', "timestamp") + INTERVAL 1 HOUR <= (SELECT max("timestamp") - INTERVAL 60 SECOND FROM http_requests)""",
+)
+
+
 def _ingested(s: Sample) -> DataFrame:
     """Lines land twice; the stream stores each request once."""
     work = shared_dir(s.spark, "stream-ingest")

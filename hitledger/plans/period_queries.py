@@ -150,6 +150,23 @@ WHERE "timestamp" BETWEEN TIMESTAMP '2024-01-24' AND TIMESTAMP '2024-01-31'
 UNION ALL SELECT 2, count(*), count(DISTINCT client_ip) FROM http_requests
 WHERE "timestamp" BETWEEN TIMESTAMP '2024-01-17' AND TIMESTAMP '2024-01-24'""",
 )
+for _name, _as_of, _spans in (
+    ("24v24", AS_OF, (("2024-01-30", "2024-01-31"), ("2024-01-29", "2024-01-30"))),
+    ("30v30", AS_OF, (("2024-01-01", "2024-01-31"), ("2023-12-02", "2024-01-01"))),
+    ("same-hour-week", "2024-01-30 12:00:00", (("2024-01-30", "2024-01-30 12:00:00"), ("2024-01-23", "2024-01-23 12:00:00"))),
+):
+    query(
+        f"compare_preset_{_name.replace('-', '_')}",
+        lambda s, name=_name, as_of=_as_of: pd.period_summary(
+            pd.in_periods(s.plain, pd.preset_periods(name, as_of=as_of)), pd.preset_periods(name, as_of=as_of)
+        ).select("period", "total_requests", "failed_requests", "unique_visitors", "unique_files", "total_bandwidth"),
+        base() + "\nUNION ALL\n".join(
+            f"""SELECT * FROM (SELECT CAST({n} AS BIGINT) AS period, count(*) AS total_requests, count(*) FILTER (status_code >= 400) AS failed_requests,
+  {VISITORS}, count(DISTINCT path) AS unique_files, {TOTAL_BYTES} FROM http_requests
+  WHERE "timestamp" BETWEEN TIMESTAMP '{a}' AND TIMESTAMP '{b}') WHERE total_requests > 0"""
+            for n, (a, b) in enumerate(_spans, 1)
+        ),
+    )
 query(
     "compare_labels",
     lambda s: pd.in_periods(s.plain, _periods()).groupBy(pd.period_labels(_periods()).alias("label")).agg(F.count(F.lit(1)).alias("requests")),

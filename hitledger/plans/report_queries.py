@@ -410,6 +410,20 @@ FROM http_requests WHERE response_time_ms > 0 AND {_where}""",
 query("response_time_stats_approximate", lambda s: latency.response_time_stats(s.plain, ALL, approximate=True))
 
 
+def _rank_errors(s):
+    """Whether each approximate percentile stands within one percent of the rows of its rank."""
+    sketch = latency.response_time_stats(s.plain, ALL, approximate=True)
+    n, t = F.count(F.lit(1)), F.col("response_time_ms")
+    within = []
+    for name, rank in (("p50", 0.50), ("p95", 0.95), ("p99", 0.99)):
+        value = sketch.select(name).scalar()
+        within.append(((F.count_if(t < value) <= (rank + 0.01) * n) & (F.count_if(t <= value) >= (rank - 0.01) * n)).alias(f"{name}_within"))
+    return s.plain.filter("response_time_ms > 0").agg(*within)
+
+
+query("response_time_rank_errors", _rank_errors, "SELECT true AS p50_within, true AS p95_within, true AS p99_within")
+
+
 def _bucket_sql(source: str) -> str:
     def w(test: str) -> str:
         return f"CAST(coalesce(sum(w) FILTER ({test}), 0) AS BIGINT)"

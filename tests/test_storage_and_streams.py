@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +126,25 @@ def test_latest_rows_carry_over_between_batches(spark):
     first = merge_latest(rows(1, 5, 3), None, 2)
     second = merge_latest(rows(4, 2), first, 3)
     assert [r["request_hash"] for r in second.collect()] == ["5", "4", "3"]
+
+
+def test_rows_later_than_the_watermark_change_no_window(spark, requests_of):
+    from hitledger.streaming import realtime as stream
+
+    work = shared_dir(spark, "test-late")
+    second = lambda n: f"2024-01-01 00:{n // 60:02d}:{n % 60:02d}"
+    files = [
+        [{"timestamp": second(n), "client_ip": "a", "status_code": 200} for n in range(0, 301, 10)],
+        [{"timestamp": second(295), "client_ip": "b", "status_code": 200}],
+        [{"timestamp": second(12), "client_ip": "late", "status_code": 500}],  # the mark was set by the first file, windows closed with the second
+        [{"timestamp": second(500), "client_ip": "c", "status_code": 200}],
+    ]
+    for rows in files:
+        requests_of(*rows).coalesce(1).write.mode("append").parquet(f"{work}/in")
+        time.sleep(1.1)  # files are read in the order of their times
+    schema = requests_of(files[0][0]).schema
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/in")
+    stream.run_to_table(stream.rates(stream.live(source)), f"{work}/out", f"{work}/cp").awaitTermination()
+    out = {r["window_end"].strftime("%M:%S"): r for r in spark.read.parquet(f"{work}/out").collect()}
+    assert (out["00:13"]["request_rate"], out["00:13"]["error_rate"]) == (0.2, 0.0)  # the row of second 10 alone
+    assert out["04:57"]["request_rate"] == 0.2  # five seconds late is in time
