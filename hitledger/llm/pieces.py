@@ -23,9 +23,9 @@ from hitledger.llm.texts import slices
 
 SPACE = "▁"
 #: Characters of words that one suffix array covers; bytes of text that are encoded together.
-ARRAY_CHARS, ENCODE_BYTES = 1 << 19, 4 << 20
+ARRAY_CHARS, ENCODE_BYTES = 1 << 18, 2 << 20
 #: Encoded words that a worker remembers for its next batches.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 _UNKNOWN = -1
 _DEPTH = 16
 
