@@ -60,6 +60,10 @@ user_id AS user_id
 """
 
 
+#: Where a session wrote the log lines of a data folder.
+_LINES: dict[tuple[str, str], str] = {}
+
+
 class Sample:
     """Tables of one data folder, each built on first use and never collected."""
 
@@ -128,10 +132,13 @@ class Sample:
 
     @cached_property
     def lines(self) -> DataFrame:
-        """The requests as raw log lines, in three dialects by turns, kept in a written table as logs are."""
-        path = shared_dir(self.spark, "log-lines")
-        self._rendered().repartition(self.spark.sparkContext.defaultParallelism).write.parquet(path)
-        return self.spark.read.parquet(path)
+        """The requests as raw log lines, in three dialects by turns, written once per session as logs are."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _LINES:
+            path = shared_dir(self.spark, "log-lines")
+            self._rendered().write.parquet(path)
+            _LINES[key] = path
+        return self.spark.read.parquet(_LINES[key])
 
     def _rendered(self) -> DataFrame:
         r = self.referred
