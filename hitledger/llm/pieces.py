@@ -25,7 +25,7 @@ SPACE = "▁"
 #: Characters of words that one suffix array covers; bytes of text that are encoded together.
 ARRAY_CHARS, ENCODE_BYTES = 1 << 18, 2 << 20
 #: Encoded words that a worker remembers for its next batches.
-MEMO_WORDS = 150_000
+MEMO_WORDS = 250_000
 _UNKNOWN = -1
 _DEPTH = 16
 
