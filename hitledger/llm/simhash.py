@@ -27,19 +27,25 @@ SEED = 42
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
-def fingerprint(text: str | None) -> int:
-    """The 64-bit fingerprint of a text's word shingles, as an unsigned number; zero without a word."""
+def shingle_hashes(text: str | None, width: int = SHINGLE_WORDS) -> list[int]:
+    """The hash of each shingle of ``width`` words, or of all words if they are fewer; none without a word."""
     words = (text or "").encode().translate(_FOLD).split()
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
-    if len(words) < SHINGLE_WORDS:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        end = np.cumsum(size + 1) - 1
-        begin = (end - size)[: 1 - SHINGLE_WORDS].tolist()
-        hashes = [xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(begin, end[SHINGLE_WORDS - 1 :].tolist())]
+    if len(words) < width:
+        return [xxhash.xxh64_intdigest(joined, SEED)]
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    end = np.cumsum(size + 1) - 1
+    begin = (end - size)[: len(words) - width + 1].tolist()
+    return [xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(begin, end[width - 1 :].tolist())]
+
+
+def fingerprint(text: str | None) -> int:
+    """The 64-bit fingerprint of a text's word shingles, as an unsigned number; zero without a word."""
+    hashes = shingle_hashes(text)
+    if not hashes:
+        return 0
     set_ = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         bits = np.unpackbits(np.array(hashes[at : at + (1 << 16)], dtype=">u8").view(np.uint8)).reshape(-1, 64)
