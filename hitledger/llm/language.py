@@ -32,8 +32,9 @@ RIDGE = 1.0
 #: Steepness of the scores' softmax.
 SHARPNESS = 4.0
 UNDETERMINED = "und"
-#: A document whose best language scores less is in no learned language.
-LEAST_SCORE = 0.3
+#: Lengths in bytes from which a text's measures are held to those of unseen learned texts of that length; it is in
+#: no learned language if both its best value and its known share are lower than all but this share have them.
+LENGTHS, ODD_SHARE = (0, 20, 60, 200, 1000), 0.02
 ORDERS = (1, 2, 3, 4)
 _SLOTS = 18
 _LETTER = re.compile(r"[^\W\d_]")
@@ -78,9 +79,11 @@ class LanguageModel:
     grams: list[np.ndarray] = field(default_factory=list)
     features: int = 0
     weights: np.ndarray | None = None
+    #: For each of LENGTHS the best value and the known share that few texts in a learned language are below.
+    least: np.ndarray | None = None
 
-    def presence(self, data: np.ndarray, row_of: np.ndarray, rows: int) -> Iterator[tuple[int, np.ndarray]]:
-        """Blocks of the presence matrix: the first row and the rows."""
+    def marks(self, data: np.ndarray, row_of: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each n: the row and the feature of each n-gram that is one, in order."""
         marks = []
         for n, slots, grams in zip(ORDERS, self.slots, self.grams):
             code = _codes(data, n)
@@ -89,6 +92,10 @@ class LanguageModel:
             found = found[at]
             same = grams[found] == code[at]
             marks.append((row_of[at[same]], found[same]))
+        return marks
+
+    def presence(self, marks: list[tuple[np.ndarray, np.ndarray]], rows: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Blocks of the presence matrix: the first row and the rows."""
         for first in range(0, rows, BLOCK_ROWS):
             block = np.zeros((min(BLOCK_ROWS, rows - first), self.features), np.float32)
             for row, found in marks:
@@ -96,31 +103,81 @@ class LanguageModel:
                 block[row[a:b] - first, found[a:b]] = 1
             yield first, block
 
-    def score(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """Language and score of each text that has a letter; else undetermined."""
-        letters = np.array([bool(_LETTER.search(t)) for t in texts], bool)
-        names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-        if self.weights is None or not letters.any():
-            return names, scores
-        asked = np.flatnonzero(letters)
-        data, row_of, text_of = _rows([texts[i] for i in asked])
-        total, weight = np.zeros((len(asked), len(self.languages))), np.zeros(len(asked))
-        for first, block in self.presence(data, row_of, len(text_of)):
+    def _measure(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each text: the mean value of each language, the share of its 3- and 4-grams that are features, its length.
+
+        That is in bytes, but no more than the different features of one row: a word repeated is a short text.
+        """
+        data, row_of, text_of = _rows(texts)
+        marks = self.marks(data, row_of)
+        total, weight, most = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts)), np.zeros(len(texts))
+        for first, block in self.presence(marks, len(text_of)):
             found = block.sum(1)
             value = block @ self.weights / np.sqrt(np.maximum(found, 1))[:, None]
             which = text_of[first : first + len(block)]
             np.add.at(total, which, value * found[:, None])
             np.add.at(weight, which, found)
-        mean = total / np.maximum(weight, 1)[:, None]
+            np.maximum.at(most, which, found)
+        size = np.bincount(text_of[row_of[row_of >= 0]], minlength=len(texts))
+        long = [row for n, (row, _) in zip(ORDERS, marks) if n >= 3]
+        known = sum(np.bincount(text_of[row], minlength=len(texts)) for row in long) / np.maximum(size * len(long), 1)
+        return total / np.maximum(weight, 1)[:, None], known, np.minimum(size, most)
+
+    def judge(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language and score of each text that has a letter, else undetermined; and whether it is in a learned language."""
+        letters = np.array([bool(_LETTER.search(t)) for t in texts], bool)
+        names, scores, learned = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
+        if self.weights is None or not letters.any():
+            return names, scores, learned
+        asked = np.flatnonzero(letters)
+        mean, known, size = self._measure([texts[i] for i in asked])
         power = np.exp(SHARPNESS * (mean - mean.max(1, keepdims=True)))
         share = power / power.sum(1, keepdims=True)
         best = share.argmax(1)
         for i, b, s in zip(asked, best, share.max(1)):
             names[i], scores[i] = self.languages[b], s
-        return names, scores
+        learned[asked] = known > 0
+        if self.least is not None:
+            least = self.least[np.searchsorted(LENGTHS, size, side="right") - 1]
+            learned[asked] &= (mean.max(1) >= least[:, 0]) | (known >= least[:, 1])
+        return names, scores, learned
+
+    def score(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """Language and score of each text that has a letter; else undetermined."""
+        return self.judge(texts)[:2]
 
 
 def train(samples: dict[str, list[str]]) -> LanguageModel:
+    """Fit on texts by language, with the lowest usual measures of texts that a model of the other half has not seen.
+
+    The best value and the known share are absolute: other than the score they do not grow as languages get fewer.
+    Too few texts to find such a share of them calibrate nothing; then only a text with nothing known is in no language.
+    """
+    model = _train(samples)
+    if sum(len(set(v)) for v in samples.values()) < 1 / ODD_SHARE:
+        return model
+    halves = [{k: [t for i, t in enumerate(v) if i % 2 == part] for k, v in samples.items()} for part in (0, 1)]
+    found: list[np.ndarray] = []
+    for learn, ask in (halves, halves[::-1]):
+        half = _train(learn)
+        if half.weights is None:
+            return model
+        for take in (8, *LENGTHS[1:], 2 * LENGTHS[-1]):
+            cuts = [t.encode("utf-8", "replace")[: take * 3 // 2].decode("utf-8", "ignore") for v in ask.values() for t in v]
+            if cuts := [t for t in cuts if _LETTER.search(t)]:
+                mean, known, size = half._measure(cuts)
+                found.append(np.stack((size, mean.max(1), known), 1))
+    seen = np.concatenate(found) if found else np.zeros((0, 3))
+    bins = np.searchsorted(LENGTHS, seen[:, 0], side="right") - 1
+    least = [np.quantile(seen[bins == at, 1:], ODD_SHARE, axis=0) if (bins == at).any() else np.full(2, np.inf) for at in range(len(LENGTHS))]
+    for at in range(1, len(least)):  # lengths that no text has are held to what shorter ones are
+        least[at] = np.where(np.isinf(least[at]), least[at - 1], least[at])
+    # a shorter text is never held to more than a longer one
+    model.least = np.minimum.accumulate(np.array(least)[::-1], axis=0)[::-1] if np.isfinite(least[-1]).all() else None
+    return model
+
+
+def _train(samples: dict[str, list[str]]) -> LanguageModel:
     """Fit on texts by language; a sample is also used cut short, as short texts will come."""
     model = LanguageModel(sorted(samples))
     texts, labels = [], []
@@ -152,7 +209,7 @@ def train(samples: dict[str, list[str]]) -> LanguageModel:
     def normal(items: list[str]) -> np.ndarray:
         data, row_of, text_of = _rows(items)
         made = np.zeros((len(items), model.features), np.float32)
-        for first, block in model.presence(data, row_of, len(text_of)):
+        for first, block in model.presence(model.marks(data, row_of), len(text_of)):
             np.maximum.at(made, text_of[first : first + len(block)], block)
         return made / np.sqrt(np.maximum(made.sum(1, keepdims=True), 1))
 
@@ -208,12 +265,11 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
     return docs.mapInArrow(run, schema)
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel, text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
-    """The rows whose text is in a learned language, unchanged: determined, and with a score of ``least`` or more."""
+def keep_identified(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+    """The rows whose text is in a learned language, unchanged: determined, and with a measure as learned texts have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text, 1 << 20):
-            names, scores = model.score([t or "" for t in batch.column(text).to_pylist()])
-            yield batch.filter(pa.array([n != UNDETERMINED and s >= least for n, s in zip(names, scores)], pa.bool_()))
+            yield batch.filter(pa.array(model.judge([t or "" for t in batch.column(text).to_pylist()])[2], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
