@@ -2,8 +2,9 @@
 
 A page becomes its text nodes with the path of tags above each. Text length and punctuation are added up per
 path and divided by the number of nodes of the path; both ratios are smoothed along the page and multiplied.
-Paths whose fused ratio is over a threshold carry the content; what they carry is added up the element tree,
-and the innermost container with most of it is the article. Its nodes are the text, but for those under tags,
+Paths whose fused ratio is over a threshold carry the content; what they carry is added up the element tree.
+The article is the outermost article or main element with most of it, or else the innermost container that
+leaves no such path and no heading outside. Its nodes are the text, but for those under tags,
 roles or class names of menus, notices, adverts, forms, comments and the like.
 """
 
@@ -49,6 +50,7 @@ _ASIDE_WORDS = set(
 _ASIDE_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _HEADS = {"header"}
 _CORE = {"html", "body", "article", "main"}
+_TITLES = set("h1 h2 h3 h4 h5 h6".split())
 
 
 def _is_aside(tag: str, attributes: str, in_article: bool) -> bool:
@@ -135,6 +137,12 @@ class _Page:
         if (depth := self._find({tag}, walls)) is not None:
             self._pop(depth)
 
+    def above(self, element: int) -> Iterator[int]:
+        """The element and all that it is in, up to the root."""
+        while element >= 0:
+            yield element
+            element = self.parent[element]
+
     def path(self, element: int) -> tuple[str, ...]:
         tags = []
         while element > 0:
@@ -185,9 +193,22 @@ def main_text(source: str | None) -> str:
     children: dict[int, list[int]] = {}
     for e in mass:
         children.setdefault(page.parent[e], []).append(e)
-    container = 0
-    while inner := [e for e in children.get(container, ()) if page.tag[e] in _BLOCK - _LEAF and mass[e] >= MAJORITY * mass[container]]:
-        container = max(inner, key=mass.get)
+    cores = [e for e in mass if page.tag[e] in ("article", "main") and mass[e] >= MAJORITY * mass[0]]
+    container = min(cores, default=0)  # elements are numbered as they open: the outermost
+    titles: dict[int, int] = {}  # headings with a text below each element
+    for element in {page.nodes[i][0] for i in full} if not cores else ():
+        title = any(page.tag[e] in _TITLES for e in page.above(element))
+        for e in page.above(element) if title else ():
+            titles[e] = titles.get(e, 0) + 1
+    counted: dict[int, int] = {}
+    for i, value in zip(full, fused):
+        if value >= THRESHOLD * fused.mean():
+            for e in page.above(page.nodes[i][0]):
+                counted[e] = counted.get(e, 0) + 1
+    while not cores and (
+        inner := [e for e in children.get(container, ()) if page.tag[e] in _BLOCK - _LEAF and counted[e] == counted[container] and titles.get(e, 0) == titles.get(container, 0)]
+    ):
+        container = inner[0]
     inside = {container}
     for e in range(container + 1, len(page.tag)):
         if page.parent[e] in inside:
