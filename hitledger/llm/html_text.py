@@ -54,6 +54,7 @@ _TITLES = set("h1 h2 h3 h4 h5 h6".split())
 
 
 def _is_aside(tag: str, attributes: str, in_article: bool) -> bool:
+    """Whether the tag, its role or a sign of hiding take an element out."""
     if tag in _NEVER or (tag in _HEADS and not in_article):
         return True
     if tag in _CORE or not attributes:
@@ -62,20 +63,31 @@ def _is_aside(tag: str, attributes: str, in_article: bool) -> bool:
         name, value = name.lower(), value.strip("\"'")
         if flag or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
             return True
-        if name in ("class", "id"):
-            words = {w.lower() for w in _NAME_WORD.findall(value)}
-            if words & _ASIDE_WORDS or (words & _HEADS and not in_article):
-                return True
         if name == "role" and value.lower() in _ASIDE_ROLES:
             return True
     return False
 
 
+def _named_aside(tag: str, attributes: str, in_article: bool) -> int:
+    """2 if a class or id is the name of what is not the article, 1 if one has such a word beside others, else 0."""
+    if tag in _CORE or not attributes:
+        return 0
+    most = 0
+    listed = _ASIDE_WORDS if in_article else _ASIDE_WORDS | _HEADS
+    for name, value, _ in _ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id"):
+            for part in value.strip("\"'").split():
+                words = {w.lower() for w in _NAME_WORD.findall(part)}
+                if words & listed:
+                    most = max(most, 1 if words - listed else 2)
+    return most
+
+
 class _Page:
     """The text nodes of a page, and its elements as a tree."""
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.aside = [-1], [""], [False]
+        self.parent, self.tag, self.aside, self.named = [-1], [""], [False], [0]
         self.nodes: list[tuple[int, int, str]] = []  # (element, block, text)
         self._stack, self._block = [0], 0
         self._in_article = 0
@@ -128,6 +140,7 @@ class _Page:
         self.parent.append(above)
         self.tag.append(tag)
         self.aside.append(self.aside[above] or _is_aside(tag, attributes, self._in_article > 0))
+        self.named.append(_named_aside(tag, attributes, self._in_article > 0))
         self._in_article += tag in ("article", "main")
         if not (attributes.rstrip().endswith("/") and tag in ("svg", "path")):
             self._stack.append(len(self.tag) - 1)
@@ -176,20 +189,60 @@ def path_scores(page: _Page, full: list[int]) -> np.ndarray:
     return fused
 
 
+def _mass(page: _Page, full: list[int], fused: np.ndarray) -> dict[int, float]:
+    """What the paths over the threshold carry, for each element that holds any."""
+    mass: dict[int, float] = {}
+    for i, value in zip(full, fused):
+        if value >= THRESHOLD * fused.mean():
+            element, _, text = page.nodes[i]
+            for e in page.above(element):
+                mass[e] = mass.get(e, 0.0) + len(text) * value
+    return mass
+
+
+def _drop_named(page: _Page, full: list[int]) -> None:
+    """Elements with a listed class or id are aside, unless the content says otherwise.
+
+    Around the article or main element stay those that hold most of the content; so do, in a page without one or
+    inside of it, those that hold most of what is there, if the name has other words beside the listed one or if
+    they hold all. A paragraph or section of an article, named by a listed word beside others, stays if it holds content.
+    """
+    mass = _mass(page, full, path_scores(page, full))
+    held = {e for i in full for e in page.above(page.nodes[i][0])}
+    cores = {e: [x for x in page.above(e) if page.named[x]] for e in sorted(held) if page.tag[e] in ("article", "main")}
+    free = [e for e, around in cores.items() if not around]
+    stay: set[int] = set()
+    if cores and not free:
+        core = max(cores, key=lambda e: mass.get(e, 0.0))
+        if mass.get(cores[core][-1], 0.0) >= MAJORITY * mass[0]:
+            stay.update(page.above(core))
+            free = [core]
+    if not cores or not free:
+        stay.update(e for e, m in mass.items() if m >= MAJORITY * mass[0])
+    for e in range(1, len(page.tag)):
+        if page.aside[page.parent[e]]:
+            page.aside[e] = True
+        elif page.named[e] and e not in stay and not page.aside[e]:
+            around = [x for x in page.above(e) if x in free]
+            whole = mass.get(around[-1], 0.0) if around else 0.0
+            most = whole > 0 and mass.get(e, 0.0) >= (MAJORITY if page.named[e] == 1 else 1.0) * whole
+            part = bool(around) and page.named[e] == 1 and page.tag[e] in ("p", "section") and e in mass
+            page.aside[e] = not (most or part)
+
+
 def main_text(source: str | None) -> str:
     """The article's text: blocks in page order, one to a line; '' if there is none."""
     page = _Page(source or "")
     full = [i for i, (element, _, text) in enumerate(page.nodes) if not page.aside[element] and text.strip()]
     if not full:
         return ""
+    if any(page.named):
+        _drop_named(page, full)
+        full = [i for i in full if not page.aside[page.nodes[i][0]]]
+        if not full:
+            return ""
     fused = path_scores(page, full)
-    mass: dict[int, float] = {}
-    for i, value in zip(full, fused):
-        if value >= THRESHOLD * fused.mean():
-            element, _, text = page.nodes[i]
-            while element >= 0:
-                mass[element] = mass.get(element, 0.0) + len(text) * value
-                element = page.parent[element]
+    mass = _mass(page, full, fused)
     children: dict[int, list[int]] = {}
     for e in mass:
         children.setdefault(page.parent[e], []).append(e)

@@ -22,3 +22,21 @@ def test_sections_and_long_lists_leave_the_rest():
     items = "".join(f"<li>{LONG}</li>" for _ in range(5))
     assert lines(f"<main><p>{SHORT}</p><ul>{items}</ul></main>")[0] == SHORT
     assert lines(f"<body><div><h2>Head</h2><div><p>{LONG}</p><p>{LONG}</p></div></div></body>")[0] == "Head"
+
+
+def test_class_words_of_a_wrapper_do_not_drop_the_page():
+    for wrap in ("class='layout has-sidebar'", "id='page-with-nav'", "class='content social-post'", "class='search'"):
+        page = f"<body><div {wrap}><article><h1>Title</h1><p>{LONG}</p></article><div class='sidebar'><p>{SHORT}</p></div></div></body>"
+        assert lines(page) == ["Title", LONG.strip()], wrap
+        assert lines(f"<body>{MENU}<div {wrap}><p>{LONG}</p><p>{LONG}</p></div><div class='comments'><p>{SHORT}</p></div></body>") == [LONG.strip()] * 2, wrap
+
+
+def test_listed_words_beside_others_in_an_article():
+    page = f"<article><p>{LONG}</p><section id='search-engines'><p>{LONG}</p></section><p class='related-work'>{LONG}</p><div class='share-buttons'>Send it</div></article>"
+    assert lines(page) == [LONG.strip()] * 3
+
+
+def test_long_comments_do_not_replace_a_short_article():
+    page = f"<body><div class='layout'><article><p>{SHORT}</p></article><div class='comments'><p>{LONG}</p><p>{LONG}</p></div></div></body>"
+    assert lines(page) == [SHORT]
+    assert lines(f"<body><article><div class='content social-post'><p>{LONG}</p></div><p>{SHORT}</p></article></body>") == [LONG.strip(), SHORT]
