@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitledger.llm import decontamination, html_text, language, line_dedup, pieces, quality, sharding, simhash, token_counts, toxicity
+from hitledger.llm import (
+    conversations, decontamination, html_text, language, line_dedup, packing, pieces, quality, ranked_search, sharding, simhash, token_counts, toxicity,
+)
 from hitledger.llm.texts import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,3 +198,107 @@ def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url", "html")
     found = html_text.extract(pages).drop("html")
     return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+@query(
+    "op11_conversation_repair",
+    r"""
+    WITH RECURSIVE crc AS (
+        SELECT list(list_reduce(list_prepend(CAST(i AS BIGINT), range(8)),
+               lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS bits
+        FROM range(256) r(i)
+    ), source AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ord(x) AS BIGINT))),
+               lambda c, x: xor(c >> 8, bits[(xor(c, x) & 255) + 1]))) % 20 AS kind
+        FROM conversations, crc
+    ), damaged AS (
+        SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+               CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+        FROM source, range(2) c(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)
+    ), placed AS (
+        SELECT *, row_number() OVER w AS i, lag(role[1]) OVER w AS before,
+               regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS ink
+        FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+    ), faulty AS (
+        SELECT *, role[1] AS r, CASE WHEN ink = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+               WHEN NOT regexp_matches(ink, '[.!?]$') THEN 'truncated' ELSE '' END AS fault
+        FROM placed
+    ), moves(origin, edit, r, target, price) AS (
+        -- tops: e nothing yet, s after system, u after user, p after a pair
+        VALUES ('e', 'K', 's', 's', 0), ('e', 'K', 'u', 'u', 0), ('s', 'K', 'u', 'u', 0), ('u', 'K', 'a', 'p', 0), ('p', 'K', 'u', 'u', 0),
+               ('e', 'R', NULL, 'u', 1), ('s', 'R', NULL, 'u', 1), ('u', 'R', NULL, 'p', 1), ('p', 'R', NULL, 'u', 1),
+               ('e', 'D', NULL, 'e', 2), ('s', 'D', NULL, 's', 2), ('u', 'D', NULL, 'u', 2), ('p', 'D', NULL, 'p', 2)
+    ), inserts(origin, edits, target, price) AS (
+        VALUES ('e', '', 'e', 0), ('s', '', 's', 0), ('u', '', 'u', 0), ('p', '', 'p', 0),
+               ('e', 'I', 'u', 5), ('s', 'I', 'u', 5), ('u', 'I', 'p', 5), ('p', 'I', 'u', 5), ('e', 'II', 'p', 10), ('s', 'II', 'p', 10)
+    ), ways AS (
+        SELECT i.origin, m.edit, m.r, m.target, i.price + m.price AS price, i.edits || m.edit AS edits FROM inserts i JOIN moves m ON i.target = m.origin
+    ), parse AS (
+        SELECT conv_id, CAST(0 AS BIGINT) AS i, 'e' AS top, CAST(0 AS BIGINT) AS cost, '' AS audit, [''] [2:] AS lines FROM (SELECT DISTINCT conv_id FROM faulty)
+        UNION ALL
+        SELECT conv_id, i, top, best.cost, best.audit, best.lines FROM (
+            SELECT f.conv_id, f.i, w.target AS top,
+                   min(struct_pack(cost := p.cost + w.price + CASE WHEN f.fault = 'truncated' AND w.edit <> 'D' THEN 5 ELSE 0 END, audit := p.audit || w.edits,
+                       lines := list_concat(p.lines, CASE WHEN w.edits LIKE 'II%' THEN ['user:', 'assistant:'] WHEN w.edits LIKE 'I%' THEN [CASE WHEN p.top = 'u' THEN 'assistant:' ELSE 'user:' END] ELSE [''] [2:] END,
+                                            CASE w.edit WHEN 'K' THEN [f.role || ':' || f.text] WHEN 'R' THEN [CASE w.target WHEN 'u' THEN 'user:' ELSE 'assistant:' END || f.text] ELSE [''] [2:] END))) AS best
+            FROM parse p JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i + 1
+            JOIN ways w ON w.origin = p.top AND (w.edit = 'D' OR f.fault IN ('', 'truncated')) AND (w.edit <> 'K' OR w.r = f.r)
+            GROUP BY f.conv_id, f.i, w.target
+        )
+    ), size AS (
+        SELECT conv_id, max(i) AS n, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+               count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+               count(*) FILTER (i > 1 AND coalesce(before, '') || coalesce(r, '') NOT IN ('su', 'ua', 'au')) AS illegal
+        FROM faulty GROUP BY conv_id
+    ), ended AS (
+        SELECT p.conv_id, min(struct_pack(cost := p.cost + e.price, audit := p.audit || e.edits, lines := list_concat(p.lines,
+               CASE e.edits WHEN 'II' THEN ['user:', 'assistant:'] WHEN 'I' THEN [CASE WHEN p.top = 'u' THEN 'assistant:' ELSE 'user:' END] ELSE [''] [2:] END))) AS best
+        FROM parse p JOIN size s ON s.conv_id IS NOT DISTINCT FROM p.conv_id AND s.n = p.i JOIN inserts e ON e.origin = p.top AND e.target IN ('e', 'p')
+        GROUP BY p.conv_id
+    )
+    SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+           coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) o
+    LEFT JOIN size s ON s.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended d ON d.conv_id IS NOT DISTINCT FROM o.conv_id
+    """,
+)
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return conversations.repair(conversations.damage(given), given)
+
+
+@query("op12_packing")
+def op12_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    pieces_of = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(pieces_of.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
+@query(
+    "op13_ranked_search",
+    r"""
+    WITH doc AS (
+        SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents
+    ), total AS (
+        SELECT count(*) AS docs, CAST(sum(len(ws)) AS BIGINT) AS words FROM doc WHERE len(ws) > 0
+    ), posting AS (
+        SELECT r, w, count(*) AS tf FROM (SELECT r, unnest(ws) AS w FROM doc) GROUP BY r, w
+    ), weighed AS (
+        SELECT w, CAST(floor(1000 * ln((2.0::DOUBLE * any_value(docs) + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS weight FROM posting, total GROUP BY w
+    ), need AS (
+        SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM benchmark
+    ), scored AS (
+        SELECT item_id, d.r, any_value(doc_id) AS doc_id,
+               CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * len(ws) * docs) // words)))) AS BIGINT) AS score
+        FROM need JOIN weighed USING (w) JOIN posting p USING (w) JOIN doc d ON d.r = p.r, total GROUP BY item_id, d.r
+    )
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+    FROM scored WHERE score > 0 QUALIFY rank <= 50
+    """,
+)
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    docs, items = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark").select("item_id", "text")
+    return ranked_search.search(docs, items)
