@@ -11,9 +11,9 @@ from __future__ import annotations
 
 import os
 import re
-import sys
-from array import array
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 from hitledger.llm.texts import slices, work_path
 
 CAPACITY = 1024
-#: Stretches of text whose ids a task remembers, and the longest that is remembered.
-MEMO, MEMO_CHARS = 600_000, 40
+#: Stretches of text whose ids a Python worker remembers, and their characters.
+MEMO, MEMO_CHARS = 500_000, 16 << 20
 #: Characters of a long text that are encoded at once.
 SECTION = 1 << 20
 
@@ -38,41 +38,64 @@ _STRETCH = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
 _BREAK = re.compile(f"(?<=[^{_WHITE}])[{_WHITE}]")
 
 
+class _Places(dict):
+    """Numbers of different stretches in order of first sight; ``new`` has those not yet encoded."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, stretch: str) -> int:
+        self[stretch] = place = len(self)
+        self.new.append(stretch)
+        return place
+
+
 class Encoder:
-    """Token ids of whole texts as little-endian 32-bit numbers, stretch by stretch, each new one by the library."""
+    """Token ids of whole texts, stretch by stretch, each different one by the library once."""
 
     def __init__(self, specification: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the machine's cores already
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(specification)
-        self.memo: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = [array("I", e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        if sys.byteorder == "big":
-            for ids in found:
-                ids.byteswap()
-        return [ids.tobytes() for ids in found]
-
-    def _join(self, split: list[list[str]]) -> list[bytes]:
-        memo = self.memo
-        new = list({s for found in split for s in found if s not in memo})
-        memo.update(zip(new, self._encode(new)))
-        out = [b"".join([memo[s] for s in found]) for found in split]
-        for s in new:
-            if len(s) > MEMO_CHARS:
-                del memo[s]
-        if len(memo) > MEMO:
-            memo.clear()
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        self._forget()
+
+    def _forget(self) -> None:
+        self.places, self.chars = _Places(), 0
+        self.ids, self.edges = np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _join(self, split: list[list[str]]) -> list[np.ndarray]:
+        if len(self.places) > MEMO or self.chars > MEMO_CHARS:
+            self._forget()
+        place = self.places.__getitem__
+        at = np.concatenate([np.empty(0, np.int64), *(np.fromiter(map(place, found), np.int64, len(found)) for found in split)])
+        new, self.places.new = self.places.new, []
+        if new:
+            made = self._encode(new)
+            self.chars += sum(map(len, new))
+            self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(made), np.uint32)))
+            self.edges = np.concatenate((self.edges, self.edges[-1] + np.cumsum(np.fromiter(map(len, made), np.int64, len(made)))))
+        start, size = self.edges[at], self.edges[at + 1] - self.edges[at]
+        ends = np.cumsum(size)
+        flat = self.ids[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        last = np.concatenate(([0], ends))[np.cumsum([len(found) for found in split], dtype=np.int64)]
+        return np.split(flat, last[:-1]) if split else []
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         unsure = [t for t in texts if _UNSURE.search(t)]
-        whole = dict(zip(unsure, self._encode(unsure)))
+        whole = {t: np.array(ids, np.uint32) for t, ids in zip(unsure, self._encode(unsure))}
         short = [t for t in texts if t not in whole and len(t) <= SECTION]
         rest = iter(self._join([_STRETCH.findall(t) for t in short]))
-        return [whole[t] if t in whole else next(rest) if len(t) <= SECTION else b"".join(self._join([_STRETCH.findall(s)])[0] for s in sections(t)) for t in texts]
+        return [whole[t] if t in whole else next(rest) if len(t) <= SECTION else np.concatenate([self._join([_STRETCH.findall(s)])[0] for s in sections(t)]) for t in texts]
+
+
+@lru_cache(maxsize=1)
+def encoder(specification: str) -> Encoder:
+    """The encoder of a Python worker, which goes from task to task with what it remembers."""
+    return Encoder(specification)
 
 
 def sections(text: str, most: int = SECTION) -> Iterator[str]:
@@ -97,19 +120,19 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", tex
     with open(tokenizer, encoding="utf-8") as file:
         specification = file.read()
     narrow = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
-    last = int(end).to_bytes(4, "little")
+    last = np.uint32(end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(specification)
+        encode = encoder(specification).encode
         for batch in slices(batches, "text"):
             rows, piece, start, length, ids = [], [], [], [], []
-            for at, found in enumerate(encoder.encode([t or "" for t in batch.column("text").to_pylist()])):
-                found += last
-                total = len(found) // 4
+            for at, found in enumerate(encode([t or "" for t in batch.column("text").to_pylist()])):
+                found = np.append(found, last).astype("<u4")
+                total = len(found)
                 first = (total - 1) % capacity + 1
                 edges = [0, *range(first, total + 1, capacity)]
                 for k, (a, b) in enumerate(zip(edges, edges[1:])):
-                    rows.append(at), piece.append(k), start.append(a), length.append(b - a), ids.append(found[4 * a : 4 * b])
+                    rows.append(at), piece.append(k), start.append(a), length.append(b - a), ids.append(found[a:b].tobytes())
             columns = [batch.column("doc").take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc", "piece", "start", "length", "ids"])
 
