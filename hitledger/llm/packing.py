@@ -9,11 +9,10 @@ rank among those of their length.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,77 +24,70 @@ from pyspark.sql import types as T
 from hitledger.llm.texts import slices, work_path
 
 CAPACITY = 1024
-#: Stretches of text whose ids a Python worker remembers, and their characters.
-MEMO, MEMO_CHARS = 500_000, 16 << 20
 #: Characters of a long text that are encoded at once.
 SECTION = 1 << 20
 
-#: White space for certain, and characters that libraries may take for it or not.
-_WHITE = r" \t\n\r\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_UNSURE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]")
-#: A byte-level tokenizer's pre-tokens never reach from other characters into white space after them.
-_STRETCH = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
-_BREAK = re.compile(f"(?<=[^{_WHITE}])[{_WHITE}]")
+#: Fixed value: how byte-level tokenizers split texts before they merge.
+_SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters that are letters, digits, white space or none of these to every library, without long white space.
+_PLAIN = re.compile(r"(?:[!-~\u00a1-\u024f\u0391-\u03a1\u03a3-\u03c9\u0410-\u044f\u2010-\u2027\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]++|[ \t\n\r\u00a0]{1,500}(?![ \t\n\r\u00a0]))*+")
+#: Tokens never reach from a visible character into white space after it.
+_BREAK = re.compile(r"(?<=[!-~])[ \t\n\r]")
 
 
-class _Places(dict):
-    """Numbers of different stretches in order of first sight; ``new`` has those not yet encoded."""
+def _byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: visible ones themselves, the others from 256 on."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in kept]
+    return {chr(b): b for b in kept} | {chr(256 + n): b for n, b in enumerate(rest)}
 
-    def __init__(self):
-        self.new: list[str] = []
 
-    def __missing__(self, stretch: str) -> int:
-        self[stretch] = place = len(self)
-        self.new.append(stretch)
-        return place
+def merge_ranks(specification: str) -> dict[bytes, int] | None:
+    """The vocabulary by bytes, if merging by rank of the result equals the library's merging by list; else None.
+
+    That holds where the library encodes every token of the vocabulary as itself: two neighbours that make a
+    token are then the two of its own merge, or a merge of lower rank would have come first.
+    """
+    from tokenizers import Tokenizer
+
+    spec = json.loads(specification)
+    model, split = spec["model"], spec["pre_tokenizer"] or {}
+    usual = model["type"] == "BPE" and not model.get("dropout") and not model.get("byte_fallback") and not model.get("ignore_merges") and spec["normalizer"] is None
+    if not usual or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        return None
+    added, byte = {t["content"] for t in spec["added_tokens"]}, _byte_of()
+    vocab = {t: i for t, i in model["vocab"].items() if t not in added}
+    encode = Tokenizer.from_str(specification).model.tokenize
+    if not all(set(t) <= byte.keys() and [x.id for x in encode(t)] == [i] for t, i in vocab.items()):
+        return None
+    return {bytes(byte[c] for c in t): i for t, i in vocab.items()}
 
 
 class Encoder:
-    """Token ids of whole texts, stretch by stretch, each different one by the library once."""
+    """Token ids of whole texts as the ``tokenizers`` library gives them.
 
-    def __init__(self, specification: str):
+    Where :func:`merge_ranks` allows it, texts of plain characters are merged by rank, several times faster;
+    all others, and those with an added token's text, are left to the library.
+    """
+
+    def __init__(self, specification: str, ranks: dict[bytes, int] | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the machine's cores already
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(specification)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.places, self.chars = _Places(), 0
-        self.ids, self.edges = np.empty(0, np.uint32), np.zeros(1, np.int64)
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _join(self, split: list[list[str]]) -> list[np.ndarray]:
-        if len(self.places) > MEMO or self.chars > MEMO_CHARS:
-            self._forget()
-        place = self.places.__getitem__
-        at = np.concatenate([np.empty(0, np.int64), *(np.fromiter(map(place, found), np.int64, len(found)) for found in split)])
-        new, self.places.new = self.places.new, []
-        if new:
-            made = self._encode(new)
-            self.chars += sum(map(len, new))
-            self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(made), np.uint32)))
-            self.edges = np.concatenate((self.edges, self.edges[-1] + np.cumsum(np.fromiter(map(len, made), np.int64, len(made)))))
-        start, size = self.edges[at], self.edges[at + 1] - self.edges[at]
-        ends = np.cumsum(size)
-        flat = self.ids[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
-        last = np.concatenate(([0], ends))[np.cumsum([len(found) for found in split], dtype=np.int64)]
-        return np.split(flat, last[:-1]) if split else []
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        unsure = [t for t in texts if _UNSURE.search(t)]
-        whole = {t: np.array(ids, np.uint32) for t, ids in zip(unsure, self._encode(unsure))}
-        short = [t for t in texts if t not in whole and len(t) <= SECTION]
-        rest = iter(self._join([_STRETCH.findall(t) for t in short]))
-        return [whole[t] if t in whole else next(rest) if len(t) <= SECTION else np.concatenate([self._join([_STRETCH.findall(s)])[0] for s in sections(t)]) for t in texts]
-
-
-@lru_cache(maxsize=1)
-def encoder(specification: str) -> Encoder:
-    """The encoder of a Python worker, which goes from task to task with what it remembers."""
-    return Encoder(specification)
+        self.added = [t["content"] for t in json.loads(specification)["added_tokens"]]
+        self.fast = ranks and tiktoken.Encoding("merges", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> list[int]:
+        if len(text) > SECTION:
+            return [i for part in sections(text) for i in self._encode(part)]
+        return self._encode(text)
+
+    def _encode(self, text: str) -> list[int]:
+        if self.fast and _PLAIN.fullmatch(text) and not any(a in text for a in self.added):
+            return self.fast.encode_ordinary(text)
+        return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
 
 def sections(text: str, most: int = SECTION) -> Iterator[str]:
@@ -120,14 +112,14 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", tex
     with open(tokenizer, encoding="utf-8") as file:
         specification = file.read()
     narrow = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
-    last = np.uint32(end)
+    ranks = merge_ranks(specification)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(specification).encode
+        encode = Encoder(specification, ranks).encode
         for batch in slices(batches, "text"):
             rows, piece, start, length, ids = [], [], [], [], []
-            for at, found in enumerate(encode([t or "" for t in batch.column("text").to_pylist()])):
-                found = np.append(found, last).astype("<u4")
+            for at, text_ in enumerate(batch.column("text")):
+                found = np.array([*encode(text_.as_py() or ""), end], "<u4")
                 total = len(found)
                 first = (total - 1) % capacity + 1
                 edges = [0, *range(first, total + 1, capacity)]
