@@ -1,8 +1,8 @@
 """Packing into few sequences of a fixed capacity by minimum bin slack.
 
-For each sequence in turn, a subset-sum table over the lengths that are left, kept as bitsets, gives the fullest
-combination that fits; of equally full ones the one with the longest pieces. The combination is taken out and the
-next sequence begins. Only the number of pieces of each length matters, so a combination is used as often as the
+Each sequence in turn takes the longest piece left. A subset-sum table over the lengths that are left, kept as
+bitsets, gives the fullest combination that fits beside it; of equally full ones the one with the longest pieces.
+The combination is taken out and the next sequence begins. Only the number of pieces of each length matters, so a combination is used as often as the
 numbers allow at once, which is what one sequence after another would do. Pieces then find their place by their
 rank among those of their length.
 """
@@ -156,11 +156,20 @@ def fullest(counts: dict[int, int], capacity: int) -> list[tuple[int, int]]:
     return out
 
 
+def combination(counts: dict[int, int], capacity: int) -> list[tuple[int, int]]:
+    """The fullest combination with the longest length in it."""
+    longest = max(k for k, n in counts.items() if n)
+    rest = {**counts, longest: counts[longest] - 1}
+    found = dict(fullest({k: n for k, n in rest.items() if k <= capacity - longest}, capacity - longest))
+    found[longest] = found.get(longest, 0) + 1
+    return sorted(found.items(), reverse=True)
+
+
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:
     """(number of sequences, combination) that use up ``counts``: minimum bin slack, like sequences at once."""
     left, out = {k: n for k, n in counts.items() if n}, []
     while left:
-        found = fullest(left, capacity)
+        found = combination(left, capacity)
         times = min(left[length] // copies for length, copies in found)
         out.append((times, found))
         for length, copies in found:
