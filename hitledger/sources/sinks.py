@@ -43,13 +43,23 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(where)
 
 
-def months_of(spark: SparkSession, path: str) -> list[str]:
-    """The months the table has, by the names of its folders."""
+def folders_of(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders right below ``path``, sorted; none if it does not exist."""
     fs, root = _file_system(spark, path)
     if not fs.exists(root):
         return []
-    names = [status.getPath().getName() for status in fs.listStatus(root) if status.isDirectory()]
-    return sorted(n.removeprefix("partition_key=") for n in names if n.startswith("partition_key="))
+    return sorted(status.getPath().getName() for status in fs.listStatus(root) if status.isDirectory())
+
+
+def delete_folders(spark: SparkSession, paths: Sequence[str]) -> None:
+    for path in paths:
+        fs, where = _file_system(spark, path)
+        fs.delete(where, True)
+
+
+def months_of(spark: SparkSession, path: str) -> list[str]:
+    """The months the table has, by the names of its folders."""
+    return [n.removeprefix("partition_key=") for n in folders_of(spark, path) if n.startswith("partition_key=")]
 
 
 def read_requests(spark: SparkSession, path: str, months: Sequence[str] | None = None) -> DataFrame:
@@ -77,19 +87,22 @@ def write_requests(df: DataFrame, path: str, *, mode: str = "append", by_client:
     laid_out.write.mode(mode).options(**_BLOOM).partitionBy("partition_key").parquet(path)
 
 
-def append_requests(batch: DataFrame, path: str, *, initial: bool = False) -> None:
+def append_requests(batch: DataFrame, path: str, *, initial: bool = False) -> list[int] | None:
     """Append rows (all with a request hash) that are neither repeated in the batch nor stored already.
 
     The batch is de-duplicated first, so a request that fills most of it meets the stored rows once. Only the
     batch's months are listed, and of them only row groups of the batch's hours are read: a late row adds its own
     hour. ``initial`` is the bulk load into an empty table: only the batch itself is de-duplicated. Running the
     same batch again adds nothing, so a retried micro-batch is harmless.
+
+    Returns the hours (first seconds) the batch has rows of, for what is kept by hour; None stands for all hours
+    of the table, after a load into an empty one.
     """
     spark, batch = batch.sparkSession, dedupe(batch, all_hashed=True)
     present = [] if initial else months_of(spark, path)
     if not present:
         write_requests(batch, path)
-        return
+        return None
     # The batch is read for its hours and its rows; keep the parsed form meanwhile.
     batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -97,6 +110,7 @@ def append_requests(batch: DataFrame, path: str, *, initial: bool = False) -> No
         touched = {datetime.fromtimestamp(h, timezone.utc).strftime("%Y-%m") for h in hours}
         stored = read_requests(spark, path, [m for m in present if m in touched])
         write_requests(new_only(batch, near(stored, hours)), path)
+        return list(hours)
     finally:
         batch.unpersist()
 
@@ -135,9 +149,7 @@ def apply_retention(spark: SparkSession, path: str, *, as_of, days: int = 60) ->
     boundary = (utc(as_of) - timedelta(days=days)).strftime("%Y-%m")
     months = months_of(spark, path)
     old = [m for m in months if m < boundary]
-    fs, _ = _file_system(spark, path)
-    for month in old:
-        fs.delete(_path(spark, f"{path}/partition_key={month}"), True)
+    delete_folders(spark, [f"{path}/partition_key={month}" for month in old])
     if boundary in months:
         kept = retain(read_requests(spark, path, [boundary]), as_of=as_of, days=days)
         left = kept.count()

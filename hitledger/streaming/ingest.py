@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from hitledger.plans.ingest import finish_requests, judged_requests, refused
+from hitledger.sources import rollups as stored_rollups
 from hitledger.sources.sinks import append_requests
 
 
@@ -28,13 +29,15 @@ def start_ingest(
     parser: str = "auto",
     places: Callable[[DataFrame], DataFrame] | None = None,
     rejects_path: str | None = None,
+    rollups: Mapping[str, Sequence[str]] | None = None,
     interval: str | None = "30 seconds",
 ) -> StreamingQuery:
     """Parse, enrich, de-duplicate and append each micro-batch.
 
     ``places`` maps a batch's client addresses to their places, so only addresses seen in the batch
     are looked up. ``rejects_path`` takes what is not stored, with reasons, by batch number: a retried batch
-    replaces its own. ``interval=None`` processes what is there and stops. Every batch adds a file or more to
+    replaces its own. ``rollups`` names hourly rollups by folder, with their keys: the hours a batch touches are
+    made anew in each, after the append, so a retry mends them. ``interval=None`` processes what is there and stops. Every batch adds a file or more to
     the months it touches; ``sinks.compact`` merges them.
     """
 
@@ -43,7 +46,9 @@ def start_ingest(
         try:
             good = judged.filter("broken_rule = ''").drop("broken_rule")
             dimension = places(good.select("client_ip").distinct()) if places else None
-            append_requests(finish_requests(good, dimension), table_path)
+            hours = append_requests(finish_requests(good, dimension), table_path)
+            for path, keys in (rollups or {}).items():
+                stored_rollups.refresh(batch.sparkSession, table_path, path, hours, keys)
             if rejects_path:
                 refused(batch, judged).write.mode("overwrite").parquet(f"{rejects_path}/batch={batch_id}")
         finally:
