@@ -11,6 +11,9 @@ from hitledger.functions.net import ip_key
 from hitledger.schema import GEO_COLUMNS
 
 _KINDS = ("city", "country", "asn")
+#: Ranges as wide as a prefix of so few hex digits are met by very many addresses: these are dealt to SHARES groups,
+#: each with a copy of those ranges. Disjoint tables have at most 15 such ranges for each of 273 prefixes.
+_SHORT, SHARES = 2, 32
 
 
 def _shared_prefix(start: Column, end: Column) -> Column:
@@ -54,8 +57,9 @@ def lookup_ips(ips: DataFrame, *, city: DataFrame | None = None, country: DataFr
     that are no address, get '' and 0. Nested ranges: the narrowest wins.
 
     An address can only lie in ranges whose key is one of its own prefixes, so it is expanded to those
-    of a length that the tables have, and matched by equality; the range test is a residual. All tables
-    share one join, and addresses without a range come out of it too.
+    of a length that the tables have, and matched by equality; the range test is a residual. Short prefixes,
+    which wide ranges have, are matched within shares of the addresses, so no prefix is one task. All tables
+    share one join, and addresses without a range come out of it too. Nothing runs before the plan does.
     """
     tables = {"city": city, "country": country, "asn": asn}
     given = [prepare_ranges(t, kind) for kind, t in tables.items() if t is not None]
@@ -66,13 +70,17 @@ def lookup_ips(ips: DataFrame, *, city: DataFrame | None = None, country: DataFr
     for table in given[1:]:
         ranges = ranges.unionByName(table)
 
-    width = F.length("_key")
-    lengths = sorted(r[0] for r in ranges.select(F.length("_prefix")).distinct().collect())  # 33 at most
-    usable = F.filter(F.array(*(F.lit(n) for n in lengths or [0])), lambda n: n <= width)
-    prefixes = F.transform(usable, lambda n: F.substring(F.col("_key"), F.lit(1), n))
-    spread = addresses.select("client_ip", "_key", width.alias("_width"), F.explode_outer(prefixes).alias("_own"))
+    lengths = ranges.agg(F.array_append(F.collect_set(F.length("_prefix")), F.lit(-1))).scalar()  # 34 at most; -1 keeps every address
+    spread = addresses.select("client_ip", "_key", F.length("_key").alias("_width"), F.explode(lengths).alias("_n"))
+    spread = spread.filter((F.col("_n") <= F.col("_width")) | (F.col("_n") < 0))
+    spread = spread.withColumn("_own", F.when(F.col("_n") >= 0, F.substring(F.col("_key"), F.lit(1), F.col("_n")))).drop("_n")
+    share = F.when(F.length("_own") <= _SHORT, F.pmod(F.xxhash64("client_ip"), F.lit(SHARES)).cast("int")).otherwise(0)
+    spread = spread.withColumn("_share", share)
+    shares = F.when(F.length("_prefix") <= _SHORT, F.sequence(F.lit(0), F.lit(SHARES - 1))).otherwise(F.array(F.lit(0)))
+    ranges = ranges.select("*", F.explode(shares).alias("_of"))
     inside = (F.col("_key") >= F.col("_start")) & (F.col("_key") <= F.col("_end"))
-    hits = spread.join(ranges, (F.col("_width") == F.col("_family")) & (F.col("_own") == F.col("_prefix")) & inside, "left")
+    same = (F.col("_width") == F.col("_family")) & (F.col("_own") == F.col("_prefix")) & (F.col("_share") == F.col("_of"))
+    hits = spread.join(ranges, same & inside, "left")
 
     # Of nested ranges the narrowest ends first; of those ending together it starts last.
     late_start_first = F.translate("_start", "0123456789abcdef", "fedcba9876543210")

@@ -222,6 +222,33 @@ def _looked_up(s: Sample) -> DataFrame:
 
 
 query("lookup_ips", lambda s: _looked_up(s).drop("country_name"), base(_PLACES) + "SELECT * FROM dim")
+
+
+def _looked_up_v6(s: Sample) -> DataFrame:
+    """The clients as 128-bit addresses; networks over all addresses and over half of them lie above the blocks."""
+    user, block = F.lower(F.hex("user_id")), F.lower(F.hex(F.col("block") * 16))
+    ips = s.plain.select(F.concat(F.when(F.col("user_id") % 2 == 0, "2001:db8::").otherwise("a001:db8::"), user).alias("client_ip"))
+    at = lambda first, number: F.concat(F.lit(first), number)
+    city = s._block(16).filter("block % 4 <> 3").select(
+        at("2001:db8::", block).alias("start_ip"), at("2001:db8::", F.lower(F.hex(F.col("block") * 16 + 15))).alias("end_ip"),
+        F.concat(F.lit("C"), (F.col("block") % 26).cast("string")).alias("geo_country"), F.concat(F.lit("Town"), F.col("block").cast("string")).alias("geo_city"),
+    )
+    one = s.table("region").limit(1)
+    country = one.select(F.lit("8000::").alias("start_ip"), F.lit("ffff:ffff:ffff:ffff:ffff:ffff:ffff:ffff").alias("end_ip"), F.lit("UP").alias("geo_country"))
+    asn = one.select(F.lit("::").alias("start_ip"), F.lit("ffff:ffff:ffff:ffff:ffff:ffff:ffff:ffff").alias("end_ip"), F.lit(64_500).alias("asn"), F.lit("ALL").alias("asn_org"))
+    asn = asn.unionByName(one.select(F.lit("0.0.0.0").alias("start_ip"), F.lit("255.255.255.255").alias("end_ip"), F.lit(64_501).alias("asn"), F.lit("OLD").alias("asn_org")))
+    both = ips.unionByName(s.plain.select("client_ip"))
+    return enrichment.lookup_ips(both, city=city, country=country, asn=asn).select("client_ip", "geo_country", "geo_city", "asn", "asn_org")
+
+
+query(
+    "lookup_ips_wide_and_v6",
+    _looked_up_v6,
+    base("clients AS (SELECT DISTINCT client_ip, user_id AS u FROM http_requests)") + """SELECT CASE WHEN u % 2 = 0 THEN '2001:db8::' ELSE 'a001:db8::' END || format('{:x}', u) AS client_ip,
+  CASE WHEN u % 2 = 1 THEN 'UP' WHEN u // 16 % 4 <> 3 THEN 'C' || (u // 16 % 26) ELSE '' END AS geo_country,
+  CASE WHEN u % 2 = 0 AND u // 16 % 4 <> 3 THEN 'Town' || (u // 16) ELSE '' END AS geo_city, CAST(64500 AS BIGINT) AS asn, 'ALL' AS asn_org FROM clients
+UNION ALL SELECT client_ip, '', '', 64501, 'OLD' FROM clients""",
+)
 query(
     "enrich_geo",
     lambda s: enrichment.enrich_geo(s.plain.select("id", "client_ip", "path"), _looked_up(s)),
