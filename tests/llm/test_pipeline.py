@@ -7,7 +7,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hitledger.llm import decontamination, simhash
+from hitledger.llm import decontamination
 from hitledger.llm.queries import language_model
 
 FOLDER = "/root/testdata/sf0.001"
@@ -17,6 +17,12 @@ def key(line):
     return line.encode().strip(b" \t\n\v\f\r").lower()
 
 
+def shingles(text):
+    """The different runs of five words, letters of ASCII lower-cased."""
+    words = text.encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)}
+
+
 def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_duplicates", "decontamination", "sentencepiece"]
@@ -27,8 +33,8 @@ def test_stages_keep_the_columns(spark):
 def test_run(spark):
     source = spark.read.parquet(f"{FOLDER}/documents.parquet")
     texts = {r.doc_id: r.text for r in source.collect()}
-    names, scores = language_model(source).score(list(texts.values()))
-    docs = {d: t for (d, t), n, s in zip(texts.items(), names, scores) if n != "und" and s >= 0.3}
+    learned = language_model(source).judge([t or "" for t in texts.values()])[2]
+    docs = {d: t for (d, t), kept in zip(texts.items(), learned) if kept}
 
     holders = defaultdict(list)  # in the order in which documents arrive: batch, then id as text
     batch = {r.doc_id: r.b for r in source.select("doc_id", F.pmod(F.xxhash64(F.lit(1), F.col("doc_id").cast("string"), "text", F.lit(False), F.lit(False)), F.lit(4)).alias("b")).collect()}
@@ -38,14 +44,14 @@ def test_run(spark):
     for d, t in docs.items():
         docs[d] = "\n".join(x for x in t.split("\n") if not key(x) or len(holders[key(x)]) < 10 or min(holders[key(x)])[1] == str(d))
 
-    fps = {d: simhash.fingerprint(t) for d, t in docs.items()}
+    grams = {d: shingles(t) for d, t in docs.items()}
     root = {d: d for d in docs}
     changed = True
     while changed:
         changed = False
         for a in sorted(docs):
             for b in docs:
-                if root[b] > root[a] and (fps[a] ^ fps[b]).bit_count() <= 4:
+                if root[b] > root[a] and 5 * len(grams[a] & grams[b]) >= 4 * len(grams[a] | grams[b]):
                     root[b], changed = root[a], True
     docs = {d: t for d, t in docs.items() if root[d] == d}
 
