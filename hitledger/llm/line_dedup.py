@@ -1,23 +1,30 @@
 """Removal of lines that many documents share, with levelled sorted runs of line hashes.
 
-A run is a Parquet folder of (line hash, number of documents, first document), sorted by hash. Every new
-batch is anti-joined with the settled lines of the runs, for which nothing more has to be counted, and adds
-what is left as a run of its own. ``fanout`` runs of a level are merged into one run of the next level; a
-merged line that reached ``min_docs`` documents moves to the settled run.
+A run is a table of (line hash, number of documents, first document), bucketed by hash and sorted in its buckets.
+Every new batch is merge-anti-joined, bucket by bucket and without a shuffle, with all runs. What is left, lines
+never seen before, is the batch's own run; the counts of lines that some run knows follow beside it, unless the
+line is settled. ``fanout`` runs of a level, with the counts beside them, are merged into one run of the next
+level; a merged line that reached ``min_docs`` documents moves to a settled run, for it nothing more is counted.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hitledger.llm.texts import ASCII_SPACE, LOWER, UPPER, cut, wide_hash, work_path
+from hitledger.sources.sinks import delete_folders
 
 MIN_DOCS = 10
-BATCHES = 4
 FANOUT = 4
+#: Batches of a small table, and rows from which on one more comes with each doubling.
+LEAST_BATCHES, BATCH_ROWS = 6, 100_000
+#: Rows for one bucket of the runs, and how many buckets there are at least and at most.
+BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 50_000, 8, 10_000
 HASH = ["h1", "h2"]
 DOC = ["u1", "u2"]
 RUN = "h1 bigint, h2 bigint, n bigint, first struct<batch: bigint, doc: string>"
@@ -32,34 +39,68 @@ def line_keys(text: Column, min_chars: int = 1) -> Column:
     return F.array_distinct(F.filter(keys, lambda k: F.char_length(k) >= min_chars))
 
 
+def batches_for(rows: int) -> int:
+    """Batches for a table of ``rows``: each reads the runs before it, so they grow with the logarithm of the table."""
+    return LEAST_BATCHES + (rows // BATCH_ROWS).bit_length()
+
+
+def buckets_for(rows: int) -> int:
+    """Buckets of a run; from ``MOST_BUCKETS`` on they grow in size and sort on disk."""
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-rows // BUCKET_ROWS)))
+
+
 class LineRuns:
     """The store of runs below ``path``, a folder that all executors share."""
 
-    def __init__(self, spark: SparkSession, path: str, min_docs: int = MIN_DOCS, fanout: int = FANOUT):
-        self.spark, self.path, self.min_docs, self.fanout = spark, path, min_docs, fanout
+    def __init__(self, spark: SparkSession, path: str, min_docs: int = MIN_DOCS, fanout: int = FANOUT, buckets: int = LEAST_BUCKETS):
+        self.spark, self.path, self.min_docs, self.fanout, self.buckets = spark, path, min_docs, fanout, buckets
         self.levels: list[list[str]] = [[]]
+        #: By level, counts of lines that an earlier run knows.
+        self.counts: list[list[str]] = [[]]
         self.settled: list[str] = []
-        self._made = 0
-
-    def _write(self, rows: DataFrame, kind: str) -> str:
-        self._made += 1
-        to = f"{self.path}/{kind}-{self._made}"
-        rows.sortWithinPartitions(*HASH).write.parquet(to)
-        return to
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(RUN).parquet(*paths)
-
-    def discard(self, paths: list[str]) -> None:
-        """Free the space of runs that nothing reads any more."""
-        for p in paths:
-            self.spark.createDataFrame([], RUN).write.mode("overwrite").parquet(p)
+        self._prefix = f"line_runs_{uuid.uuid4().hex[:12]}"
+        self._places: dict[str, str] = {}
+
+    def write(self, rows: DataFrame, kind: str, *parts: str) -> str:
+        """The name of a new table of ``rows``, which lie in the runs' buckets already."""
+        name = f"{self._prefix}_{len(self._places)}"
+        self._places[name] = f"{self.path}/{kind}-{len(self._places)}"
+        writer = rows.sortWithinPartitions(*parts, *HASH).write.bucketBy(self.buckets, *HASH).sortBy(*HASH)
+        writer = writer.partitionBy(*parts) if parts else writer
+        writer.option("path", self._places[name]).saveAsTable(name)
+        return name
+
+    def in_buckets(self, rows: DataFrame) -> DataFrame:
+        return rows.repartition(self.buckets, *HASH)
+
+    def discard(self, names: list[str]) -> None:
+        """Free the space of tables that nothing reads any more."""
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete_folders(self.spark, [self._places[name] for name in names])
+
+    def close(self) -> None:
+        """Free all that lies below ``path``."""
+        self.discard(list(self._places))
+        delete_folders(self.spark, [self.path])
+
+    def runs(self) -> list[str]:
+        """All runs; each line ever seen is in at least one."""
+        return [name for level in self.levels for name in level] + self.settled
+
+    def _without(self, rows: DataFrame, names: list[str]) -> DataFrame:
+        for name in names:
+            rows = rows.join(self.spark.table(name).select(*HASH).hint("merge"), HASH, "left_anti")
+        return rows
 
     def add(self, batch: DataFrame) -> None:
-        """One batch of run rows, each hash once. Batches come in the order of their numbers."""
-        if self.settled:
-            batch = batch.join(self._read(self.settled).select(*HASH), HASH, "left_anti")
-        self.levels[0].append(self._write(batch.select("h1", "h2", "n", "first"), "run-0"))
+        """One batch of run rows in the runs' buckets, each hash once. Batches come in the order of their numbers."""
+        batch = batch.select("h1", "h2", "n", "first")
+        before = self.runs()
+        new = self.write(self._without(batch, before), "run-0")
+        if before:
+            self.counts[0].append(self.write(self._without(batch, [new, *self.settled]), "counts-0"))
+        self.levels[0].append(new)
         level = 0
         while len(self.levels[level]) >= self.fanout:
             self.compact(level)
@@ -69,25 +110,29 @@ class LineRuns:
         """Merge the runs of a level into one run of the next; settle what reached the count."""
         if len(self.levels) == level + 1:
             self.levels.append([])
-        old = self.levels[level]
-        merged = self._merged(old)
-        self.levels[level + 1].append(self._write(merged.filter(F.col("n") < self.min_docs), f"run-{level + 1}"))
-        self.settled.append(self._write(merged.filter(F.col("n") >= self.min_docs), "settled"))
-        self.levels[level] = []
-        self.discard(old)
-
-    def _merged(self, paths: list[str]) -> DataFrame:
-        return self._read(paths).groupBy(*HASH).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+            self.counts.append([])
+        old = self.levels[level] + self.counts[level]
+        whole = self.write(self._merged(old, True), "merged")
+        self.levels[level + 1].append(self.write(self.spark.table(whole).filter(F.col("n") < self.min_docs), f"run-{level + 1}"))
+        self.settled.append(self.write(self.spark.table(whole).filter(F.col("n") >= self.min_docs), "settled"))
+        self.levels[level], self.counts[level] = [], []
+        self.discard([*old, whole])
+
+    def _merged(self, names: list[str], in_buckets: bool = False) -> DataFrame:
+        # by their files: Spark groups a union of bucketed tables without a shuffle though their buckets lie apart
+        rows = self.spark.read.schema(RUN).parquet(*(self._places[name] for name in names))
+        rows = self.in_buckets(rows) if in_buckets else rows
+        return rows.groupBy(*HASH).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
 
     def frequent(self) -> DataFrame:
         """Run rows of the lines in at least ``min_docs`` documents; ``n`` stops growing once a line is settled."""
-        paths = [p for level in self.levels for p in level] + self.settled
-        if not paths:
+        names = self.runs() + [name for level in self.counts for name in level]
+        if not names:
             return self.spark.createDataFrame([], RUN)
-        return self._merged(paths).filter(F.col("n") >= self.min_docs)
+        return self._merged(names).filter(F.col("n") >= self.min_docs)
 
 
-def _described(docs: DataFrame, doc_id: str, text: str, batches: int) -> DataFrame:
+def _described(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The rows as they are, packed, with what identifies them."""
     return docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("string").alias("doc"), F.col(text).alias("text")).select(
         "row",
@@ -95,14 +140,13 @@ def _described(docs: DataFrame, doc_id: str, text: str, batches: int) -> DataFra
         "text",
         wide_hash(1, F.col("doc"), F.col("text")).alias("u1"),
         wide_hash(2, F.col("doc"), F.col("text")).alias("u2"),
-    ).withColumn("batch", F.pmod("u1", F.lit(batches)))
+    )
 
 
-def _lines(rows: DataFrame, min_chars: int) -> DataFrame:
-    """One row for each document and different line."""
-    return rows.select("doc", "batch", *DOC, F.posexplode(line_keys(F.col("text"), min_chars)).alias("at", "key")).select(
-        "doc", "batch", *DOC, "at", F.xxhash64(F.lit(1), "key").alias("h1"), F.xxhash64(F.lit(2), "key").alias("h2")
-    )
+def _hashed(rows: DataFrame) -> DataFrame:
+    """Each row's different line keys as hashes, in order of first sight; rows without one are left out."""
+    found = F.transform(line_keys(F.col("text")), lambda k: F.struct(F.xxhash64(F.lit(1), k).alias("h1"), F.xxhash64(F.lit(2), k).alias("h2")))
+    return rows.select("doc", *DOC, found.alias("lines")).filter(F.size("lines") > 0)
 
 
 KEPT = T.StructType(
@@ -134,34 +178,45 @@ def drop_common_lines(
     text: str = "text",
     min_docs: int = MIN_DOCS,
     keep_first: bool = False,
-    batches: int = BATCHES,
+    batches: int | None = None,
     fanout: int = FANOUT,
     counts: bool = False,
 ) -> DataFrame:
     """Drop the lines whose key is in at least ``min_docs`` documents.
 
     A line's key is the line without ASCII white space at its ends, A-Z in lower case; empty keys never count.
-    With ``keep_first`` the document that showed a line first keeps it: documents arrive in ``batches`` by a
-    hash of their content, and in the order of their ids (as text) within one. Every row is a document, so
+    With ``keep_first`` the document that showed a line first keeps it: documents arrive in ``batches`` (None: by the
+    size of the table) by a hash of their content, and in the order of their ids (as text) within one. Every row is a document, so
     repeated rows count each; equal rows lose the same lines. A null text is one empty line and stays null.
     Column names are kept, extra columns too; an empty table gives an empty table. With ``counts`` two columns,
     ``n_lines`` and ``n_dropped``, follow; input columns of these names are then replaced.
     """
     spark = docs.sparkSession
-    rows = _described(docs, doc_id, text, batches)
-    narrow = _described(docs.select(doc_id, text), doc_id, text, batches).drop("row")
-    runs = LineRuns(spark, work_path(spark, "line-runs"), min_docs, fanout)
+    folder = work_path(spark, "line-runs")
+    _hashed(_described(docs.select(doc_id, text), doc_id, text).drop("row")).write.parquet(f"{folder}/lines")
+    hashed = spark.read.parquet(f"{folder}/lines")
+    count = hashed.count()
+    batches = batches or batches_for(count)
+    hashed = hashed.withColumn("batch", F.pmod("u1", F.lit(batches)))
+    lines = hashed.select("doc", "batch", *DOC, F.posexplode("lines").alias("at", "line")).select("doc", "batch", *DOC, "at", "line.h1", "line.h2")
+
+    runs = LineRuns(spark, folder, min_docs, fanout, buckets_for(count))
+    first = F.struct("batch", "doc") if keep_first else F.lit(None).cast("struct<batch: bigint, doc: string>")
+    incoming = lines.groupBy("batch", *HASH).agg(F.count("*").alias("n"), F.min(first).alias("first"))
+    arrived = runs.write(runs.in_buckets(incoming), "arrived", "batch")
     for number in range(batches):
-        lines = _lines(narrow.filter(F.col("batch") == number), 1)
-        first = F.struct(F.lit(number).cast("bigint").alias("batch"), F.col("doc"))
-        runs.add(lines.groupBy(*HASH).agg(F.count("*").alias("n"), F.min(first).alias("first")))
-    frequent = cut(runs.frequent())
-    runs.discard([p for level in runs.levels for p in level] + runs.settled)
+        runs.add(spark.table(arrived).filter(F.col("batch") == number))
+    runs.discard([arrived])
+    # a table of files: Spark knows its size and broadcasts it only if it is small
+    runs.frequent().write.parquet(f"{folder}/frequent")
+    frequent = spark.read.parquet(f"{folder}/frequent")
 
-    hit = _lines(narrow, 1).join(frequent.select(*HASH, "first"), HASH)
+    hit = lines.join(frequent.select(*HASH, "first"), HASH)
     if keep_first:
         hit = hit.filter(~((F.col("batch") == F.col("first.batch")) & F.col("doc").eqNullSafe(F.col("first.doc"))))
-    drops = hit.groupBy(*DOC).agg(F.collect_set("at").alias("drops"))
+    drops = cut(hit.groupBy(*DOC).agg(F.collect_set("at").alias("drops")))
+    runs.close()
+    rows = _described(docs, doc_id, text)
     done = rows.join(drops, DOC, "left").select("row", _without("text", "drops").alias("kept"))
     added = ["n_lines", "n_dropped"] if counts else []
     old = [F.col("kept.text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns if c not in added]

@@ -27,7 +27,7 @@ def liney():
     return rows + [(60, None), (61, "")]
 
 
-@pytest.mark.parametrize("batches,fanout", [(1, 4), (5, 2), (4, 4)])
+@pytest.mark.parametrize("batches,fanout", [(1, 4), (5, 2), (4, 4), (None, 4)])
 def test_common_lines(documents_of, liney, batches, fanout):
     docs_of = defaultdict(set)
     for d, t in liney:
@@ -41,6 +41,23 @@ def test_common_lines(documents_of, liney, batches, fanout):
     assert got[60].text is None
 
 
+def test_each_batch_meets_the_runs_before_it(spark, documents_of, liney, monkeypatch):
+    met, add = [], line_dedup.LineRuns.add
+
+    def watched(self, batch):
+        plan = self._without(batch, self.runs())._jdf.queryExecution().executedPlan().toString()
+        met.append((sum(spark.table(name).count() for name in self.runs()), len(self.runs()), plan.count("LeftAnti"), plan.count("Exchange")))
+        add(self, batch)
+
+    monkeypatch.setattr(line_dedup.LineRuns, "add", watched)
+    line_dedup.drop_common_lines(documents_of(liney), min_docs=4)
+    assert len(met) == line_dedup.LEAST_BATCHES > line_dedup.FANOUT
+    assert all(rows > 0 and joins == runs and not shuffles for rows, runs, joins, shuffles in met[1:])
+    assert len({rows for rows, *_ in met}) > 2
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_runs")]
+    assert line_dedup.batches_for(10**9) > line_dedup.batches_for(10**6) > line_dedup.LEAST_BATCHES
+
+
 @pytest.mark.parametrize("batches", [1, 4])
 def test_first_document_keeps_its_lines(documents_of, liney, batches):
     docs_of = defaultdict(set)
