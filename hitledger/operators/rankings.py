@@ -140,16 +140,23 @@ def top_referrer_domains(df: DataFrame, scope: Scope, limit: int = 10) -> DataFr
 
 
 def with_share(ranked: DataFrame, column: str, name: str = "share") -> DataFrame:
-    """Percentage of the column total; the total is a scalar subquery, not a global window."""
-    total = ranked.agg(F.coalesce(F.sum(column), F.lit(0)).alias("_total"))
-    return ranked.withColumn(name, m.percent(F.col(column), total.scalar()))
+    """Percentage of the column total; the total is a scalar subquery, not a global window.
+
+    The subquery looks at all columns, so that it is planned like ``ranked`` and both share one aggregation of
+    the facts. Columns that nothing needs should be dropped before, not after.
+    """
+    others = [F.max(c).alias(c) for c in ranked.columns if c != column]
+    total = ranked.agg(F.struct(F.coalesce(F.sum(column), F.lit(0)).alias("_total"), *others).alias("_whole"))
+    return ranked.withColumn(name, m.percent(F.col(column), total.scalar().getField("_total")))
 
 
 def country_engagement(df: DataFrame, scope: Scope, limit: int = 0) -> DataFrame:
     """Hits per visitor and share of all visitors, per country."""
-    countries = with_share(top_countries(df, scope, limit), "unique_visitors", "visitor_share")
+    figures = top_countries(df, scope, limit).select("country", "unique_visitors", "hits")
     per_visitor = F.when(F.col("unique_visitors") > 0, F.col("hits") / F.col("unique_visitors")).otherwise(0.0)
-    return countries.select("country", "unique_visitors", "hits", per_visitor.alias("avg_hits"), "visitor_share")
+    return with_share(figures, "unique_visitors", "visitor_share").select(
+        "country", "unique_visitors", "hits", per_visitor.alias("avg_hits"), "visitor_share"
+    )
 
 
 def referral_share(df: DataFrame, scope: Scope) -> DataFrame:

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from scans import scans
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
@@ -39,3 +40,9 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert entry_points.entry(spark).count() == 1
+
+
+@pytest.mark.parametrize("name", ["method_share", "country_engagement"])
+def test_shares_read_the_facts_once(spark, name):
+    found = [rows for place, rows in scans(QUERIES[name](spark, FOLDER)) if place.endswith("events.parquet")]
+    assert len(found) == 1 and found[0] > 0
