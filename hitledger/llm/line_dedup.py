@@ -4,7 +4,8 @@ A run is a table of (line hash, number of documents, first document), bucketed b
 Every new batch is merge-anti-joined, bucket by bucket and without a shuffle, with all runs. What is left, lines
 never seen before, is the batch's own run; the counts of lines that some run knows follow beside it, unless the
 line is settled. ``fanout`` runs of a level, with the counts beside them, are merged into one run of the next
-level; a merged line that reached ``min_docs`` documents moves to a settled run, for it nothing more is counted.
+level; a merged line that reached ``min_docs`` documents moves to a settled run, and nothing more is counted for it
+unless first documents are asked for.
 """
 
 from __future__ import annotations
@@ -23,11 +24,13 @@ MIN_DOCS = 10
 FANOUT = 4
 #: Batches of a small table, and rows from which on one more comes with each doubling.
 LEAST_BATCHES, BATCH_ROWS = 6, 100_000
+#: Turns, by a hash of the content, in which documents may keep a line; the same at every size, whatever the batches.
+TURNS = 4
 #: Rows for one bucket of the runs, and how many buckets there are at least and at most.
 BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 50_000, 8, 10_000
 HASH = ["h1", "h2"]
 DOC = ["u1", "u2"]
-RUN = "h1 bigint, h2 bigint, n bigint, first struct<batch: bigint, doc: string>"
+RUN = "h1 bigint, h2 bigint, n bigint, first struct<turn: bigint, doc: string>"
 
 
 def line_keys(text: Column, min_chars: int = 1) -> Column:
@@ -52,8 +55,10 @@ def buckets_for(rows: int) -> int:
 class LineRuns:
     """The store of runs below ``path``, a folder that all executors share."""
 
-    def __init__(self, spark: SparkSession, path: str, min_docs: int = MIN_DOCS, fanout: int = FANOUT, buckets: int = LEAST_BUCKETS):
+    def __init__(self, spark: SparkSession, path: str, min_docs: int = MIN_DOCS, fanout: int = FANOUT, buckets: int = LEAST_BUCKETS, firsts: bool = False):
         self.spark, self.path, self.min_docs, self.fanout, self.buckets = spark, path, min_docs, fanout, buckets
+        #: Whether first documents matter: a later batch may hold an earlier one of a settled line.
+        self.firsts = firsts
         self.levels: list[list[str]] = [[]]
         #: By level, counts of lines that an earlier run knows.
         self.counts: list[list[str]] = [[]]
@@ -99,7 +104,7 @@ class LineRuns:
         before = self.runs()
         new = self.write(self._without(batch, before), "run-0")
         if before:
-            self.counts[0].append(self.write(self._without(batch, [new, *self.settled]), "counts-0"))
+            self.counts[0].append(self.write(self._without(batch, [new] if self.firsts else [new, *self.settled]), "counts-0"))
         self.levels[0].append(new)
         level = 0
         while len(self.levels[level]) >= self.fanout:
@@ -185,9 +190,9 @@ def drop_common_lines(
     """Drop the lines whose key is in at least ``min_docs`` documents.
 
     A line's key is the line without ASCII white space at its ends, A-Z in lower case; empty keys never count.
-    With ``keep_first`` the document that showed a line first keeps it: documents arrive in ``batches`` (None: by the
-    size of the table) by a hash of their content, and in the order of their ids (as text) within one. Every row is a document, so
-    repeated rows count each; equal rows lose the same lines. A null text is one empty line and stays null.
+    With ``keep_first`` the first document of a line keeps it: documents have one of ``TURNS`` turns by a hash of
+    their content, and within one the order of their ids (as text). ``batches`` (None: by the size of the table)
+    decide how the runs are built, never what is dropped. Every row is a document, so repeated rows count each; equal rows lose the same lines. A null text is one empty line and stays null.
     Column names are kept, extra columns too; an empty table gives an empty table. With ``counts`` two columns,
     ``n_lines`` and ``n_dropped``, follow; input columns of these names are then replaced.
     """
@@ -197,11 +202,11 @@ def drop_common_lines(
     hashed = spark.read.parquet(f"{folder}/lines")
     count = hashed.count()
     batches = batches or batches_for(count)
-    hashed = hashed.withColumn("batch", F.pmod("u1", F.lit(batches)))
-    lines = hashed.select("doc", "batch", *DOC, F.posexplode("lines").alias("at", "line")).select("doc", "batch", *DOC, "at", "line.h1", "line.h2")
+    hashed = hashed.select("*", F.pmod("u1", F.lit(batches)).alias("batch"), F.struct(F.pmod("u1", F.lit(TURNS)).alias("turn"), "doc").alias("place"))
+    lines = hashed.select("place", "batch", *DOC, F.posexplode("lines").alias("at", "line")).select("place", "batch", *DOC, "at", "line.h1", "line.h2")
 
-    runs = LineRuns(spark, folder, min_docs, fanout, buckets_for(count))
-    first = F.struct("batch", "doc") if keep_first else F.lit(None).cast("struct<batch: bigint, doc: string>")
+    runs = LineRuns(spark, folder, min_docs, fanout, buckets_for(count), keep_first)
+    first = F.col("place") if keep_first else F.lit(None).cast("struct<turn: bigint, doc: string>")
     incoming = lines.groupBy("batch", *HASH).agg(F.count("*").alias("n"), F.min(first).alias("first"))
     arrived = runs.write(runs.in_buckets(incoming), "arrived", "batch")
     for number in range(batches):
@@ -213,7 +218,7 @@ def drop_common_lines(
 
     hit = lines.join(frequent.select(*HASH, "first"), HASH)
     if keep_first:
-        hit = hit.filter(~((F.col("batch") == F.col("first.batch")) & F.col("doc").eqNullSafe(F.col("first.doc"))))
+        hit = hit.filter(~F.col("place").eqNullSafe(F.col("first")))
     drops = cut(hit.groupBy(*DOC).agg(F.collect_set("at").alias("drops")))
     runs.close()
     rows = _described(docs, doc_id, text)
