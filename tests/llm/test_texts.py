@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from hitledger.llm import decontamination, html_text, language, quality, toxicity
 
@@ -170,3 +171,27 @@ def test_queries_equal_their_sql(spark, name):
     got = QUERIES[name](spark, "/root/testdata/sf0.001")
     columns = ", ".join(got.columns)
     assert sorted(map(tuple, got.collect()), key=str) == sorted(con.sql(f"SELECT {columns} FROM ({SQL[name]})").fetchall(), key=str)
+
+
+def test_toxicity_is_learnt_from_whole_texts(spark):
+    """Every toxic word stands behind 20,000 characters of its text, in the rows for words and for calibration."""
+    plain = "such a fine day to you " * 1000
+    rows = [(i, plain + (f"idiot number{i}" if i % 8 < 2 else f"fine number{i}")) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 8 < 2)) for i, _ in rows], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels, F.col("id") % 2 == 0, F.col("id") % 2 == 1)
+    assert [w for w, _ in model.windows("an idiot and fine")] == ["idiot"]
+    assert model.score("you idiot") > 0.7 > 0.3 > model.score("such a day")
+
+
+def test_toxicity_fits_tables_as_it_trains_lists(spark):
+    texts = [(f"you idiot number{i} fine", 1) for i in range(12)] + [(f"you are fine number{i}", 0) for i in range(100)]
+    seen = [*texts, texts[0], (texts[1][0], 0)]  # a copy, and a text with both labels
+    unseen = [("such an idiot", 1), ("such a day", 0)] * 8 + [("such a day", 1)]
+    both = [(i, t, y) for i, (t, y) in enumerate(seen + unseen)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in both], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in both], "doc_id bigint, toxic int")
+    fitted = toxicity.fit(docs, labels, F.col("id") < len(seen), F.col("id") >= len(seen))
+    trained = toxicity.train(seen, unseen, fitted.prior)
+    assert (fitted.ordinary, fitted.toxic, fitted.explained, fitted.gain) == (trained.ordinary, trained.toxic, trained.explained, trained.gain)
+    assert all(abs(a - b) < 1e-9 for a, b in zip(fitted.weights, trained.weights))
