@@ -8,7 +8,7 @@ bits in the join condition, so that only links come out of the join.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -43,8 +43,12 @@ def shingle_hashes(text: str | None, width: int = SHINGLE_WORDS) -> list[int]:
 
 def fingerprint(text: str | None) -> int:
     """The 64-bit fingerprint of a text's word shingles, as an unsigned number; zero without a word."""
-    hashes = shingle_hashes(text)
-    if not hashes:
+    return fingerprint_of(shingle_hashes(text))
+
+
+def fingerprint_of(hashes: Sequence[int]) -> int:
+    """The 64-bit fingerprint of 64-bit hashes, as an unsigned number; zero without any."""
+    if not len(hashes):
         return 0
     set_ = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
