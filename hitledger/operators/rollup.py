@@ -32,14 +32,21 @@ KLL_SIZE = 800
 DISTINCT_ERROR, RANK_ERROR = 0.082, 0.01
 
 _COUNTS = ("requests", "valid_requests", "failed_requests", "not_found", "server_errors", "status_2xx", "status_3xx", "status_4xx", "status_5xx", "bandwidth", "measured")
+#: Columns of requests that the figures are made of.
+_MEASURED = ("timestamp", "status_code", "response_size", "response_time_ms", "client_ip", "path")
 _SKETCHES = ("clients", "paths", "missing_paths")
 
 
 def hourly_rollup(requests: DataFrame, keys: Sequence[str] = SERVICE_KEYS) -> DataFrame:
-    """One row for each hour and each value of ``keys``; ``hour`` is its first instant."""
+    """One row for each hour and each value of ``keys``; ``hour`` is its first instant.
+
+    The rows meet by their hour and keys before they are aggregated: most groups have a few rows in every task that
+    reads them, and a sketch of a few rows is larger than they are.
+    """
     hour = F.timestamp_seconds(bucket_key(F.col("timestamp"), "hour"))
     taken = F.when(F.col("response_time_ms") > 0, F.col("response_time_ms"))
-    rows = requests.groupBy(hour.alias("hour"), *keys).agg(
+    named = requests.select(hour.alias("hour"), *dict.fromkeys((*keys, *_MEASURED)))
+    rows = named.repartition("hour", *keys).groupBy("hour", *keys).agg(
         m.hits("requests"),
         F.count_if(m.status_between(200, 400)).alias("valid_requests"),
         F.count_if(m.status_between(400)).alias("failed_requests"),

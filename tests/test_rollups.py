@@ -81,3 +81,12 @@ def test_estimates_over_merged_hours(spark, requests_of):
     for p, share in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)):
         assert abs(times[p] / 50_000 - share) <= rollup.RANK_ERROR
     assert rollup.summary_from_rollup(kept.limit(0), Scope(hours=0)).first().total_requests == 0
+
+
+def test_rows_meet_before_their_sketches_are_made(spark, requests_of):
+    """No sketch is shuffled: one exchange, of the rows, below both aggregates."""
+    rows = requests_of(*({"timestamp": f"2024-03-01 {i % 3:02d}:10:00", "client_ip": f"c{i}", "host": f"h{i % 2}", "backend_name": "b", "backend_url": "", "status_code": 200, "response_time_ms": 1.0} for i in range(40)))
+    made = rollup.hourly_rollup(rows.repartition(4))
+    above = made._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning")
+    assert len(above) == 2 and above[0].count("Aggregate") == 2 and "Aggregate" not in above[1]
+    assert sorted((r.requests, r.clients) for r in made.selectExpr("requests", "hll_sketch_estimate(clients) AS clients").collect()) == [(6, 6)] * 2 + [(7, 7)] * 4
