@@ -9,7 +9,9 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator, Mapping
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -129,10 +131,34 @@ class _Newest(StatefulProcessor):
         pass
 
 
+def _trimmed(dealt: DataFrame, limit: int) -> DataFrame:
+    """The newest ``limit`` different rows that each task has of a view's part: no others can enter its list."""
+    order = [("view", "ascending"), ("part", "ascending"), ("at", "descending"), ("request_hash", "descending")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            fresh = pa.Table.from_batches([batch])
+            both = fresh if held is None else pa.concat_tables([held, fresh])
+            both = both.group_by(both.column_names, use_threads=False).aggregate([]).sort_by(order)
+            if not both.num_rows:
+                continue
+            views = both["view"].combine_chunks().dictionary_encode().indices.to_numpy()
+            parts = both["part"].to_numpy()
+            starts = np.flatnonzero(np.r_[True, (views[1:] != views[:-1]) | (parts[1:] != parts[:-1])])
+            place = np.arange(len(views)) - np.repeat(starts, np.diff(np.r_[starts, len(views)]))
+            held = both.filter(pa.array(place < limit)).combine_chunks()
+        if held is not None:
+            yield from held.to_batches()
+
+    return dealt.mapInArrow(run, dealt.schema)
+
+
 def newest_requests(rows: DataFrame, views: Mapping[str, tuple[Scope, str]], *, limit: int = LATEST, parts: int = PARTS) -> DataFrame:
     """The newest requests of each view (name: scope and host filter), in ``parts`` lists of at most ``limit`` rows.
 
-    A request enters every view whose filters it passes. Requests are dealt by hash, so no view is one task.
+    A request enters every view whose filters it passes. Requests are dealt by hash, so no view is one task, and
+    of each batch only what a task has newest is sent on.
     :func:`keep_newest` stores the lists and :func:`read_newest` puts them together.
     """
     tests = []
@@ -149,7 +175,7 @@ def newest_requests(rows: DataFrame, views: Mapping[str, tuple[Scope, str]], *,
     part = F.pmod(F.xxhash64("request_hash"), F.lit(parts)).cast("int").alias("part")
     seen = rows.select(part, F.unix_micros("timestamp").alias("at"), *(c for c in LATEST_COLUMNS if c != "timestamp"), F.array_compact(F.array(*tests)).alias("_views"))
     dealt = seen.select(F.explode("_views").alias("view"), "part", *(F.col(f).cast(t).alias(f) for f, t in (x.split() for x in _LATEST_TYPES.split(", "))))
-    return dealt.groupBy("view", "part").transformWithStateInPandas(_Newest(limit), f"view string, part int, {_LATEST_TYPES}", "Update", "None")
+    return _trimmed(dealt, limit).groupBy("view", "part").transformWithStateInPandas(_Newest(limit), f"view string, part int, {_LATEST_TYPES}", "Update", "None")
 
 
 def _versions(spark: SparkSession, path: str) -> list[int]:

@@ -127,3 +127,14 @@ def test_a_heavy_client_is_spread_over_parts(spark, landing):
     assert one.groupBy("part").count().agg(F.max("count")).first()[0] <= 6
     best = stateful.merged_clients(rows, 1).filter("window_end = '2024-01-01 10:00:10'").first()
     assert best.ip == "hot" and best.request_rate * 15 - best.rate_error * 15 <= 300.001 and best.request_rate * 15 >= 299.999
+
+
+def test_tasks_send_on_only_what_can_be_newest(spark):
+    rows = [("all", i % 2, f"h{i % 300}", i % 300, "GET", "web", "b", "/", 200, 1.0, None, "x") for i in range(900)]
+    dealt = spark.createDataFrame(rows, f"view string, part int, request_hash string, at bigint, {stateful._LATEST_TYPES.split(', ', 2)[2]}").repartition(3)
+    left = stateful._trimmed(dealt, 5).collect()
+    assert len(left) <= 3 * 2 * 5 and len(left) < dealt.count()
+    for part in (0, 1):
+        newest = sorted({r["at"] for r in left if r["part"] == part}, reverse=True)[:5]
+        assert newest == [298 + part - 2 * i for i in range(5)]
+    assert stateful._trimmed(dealt.limit(0), 5).count() == 0
