@@ -58,11 +58,12 @@ def initial_import(df: DataFrame, *, as_of, days: int = 60) -> DataFrame:
 def sniff_sources(lines: DataFrame) -> DataFrame:
     """Parser of each file by its first line; files of an unknown format are left out.
 
-    Flat proxy JSON needs two of its five marker keys. Only one line per file and task is kept
-    before the shuffle.
+    Flat proxy JSON needs two of its five marker keys. The places of the first lines are found first, as
+    numbers, so no line is sorted or shuffled; one number per file is broadcast.
     """
     placed = lines.select("file_path", "value", F.monotonically_increasing_id().alias("place"))
-    first = placed.groupBy("file_path").agg(F.min_by("value", "place").alias("value"))
+    places = placed.groupBy("file_path").agg(F.min("place").alias("place")).select("place")
+    first = placed.join(F.broadcast(places), "place", "left_semi").select("file_path", "value")
     line = F.col("value")
     looked = detect_format(first).withColumn("doc", F.when(F.startswith(line, F.lit("{")), F.try_parse_json(line)))
     marks = [jl.present(F.col("doc"), k).cast("int") for k in fv.FLAT_JSON_FILE_KEYS]

@@ -148,3 +148,12 @@ def test_rows_later_than_the_watermark_change_no_window(spark, requests_of):
     out = {r["window_end"].strftime("%M:%S"): r for r in spark.read.parquet(f"{work}/out").collect()}
     assert (out["00:13"]["request_rate"], out["00:13"]["error_rate"]) == (0.2, 0.0)  # the row of second 10 alone
     assert out["04:57"]["request_rate"] == 0.2  # five seconds late is in time
+
+
+def test_files_are_told_apart_without_sorting_their_lines(spark):
+    path = shared_dir(spark, "test-sniff")
+    flat = '{"ClientAddr":"1.2.3.4:5","RequestMethod":"GET","RequestPath":"/","DownstreamStatus":200,"StartUTC":"2024-03-01T00:00:00Z"}'
+    spark.createDataFrame([("a", ["", flat] + ["no log"] * 50), ("b", ["no log", flat])], "dialect string, value array<string>").selectExpr("dialect", "explode(value) AS value").coalesce(1).write.partitionBy("dialect").text(path)
+    found = logs.sniff_sources(logs.read_lines(spark, path))
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [r.file_path.split("dialect=")[1][0] for r in found.collect()] == ["a"]
