@@ -28,6 +28,16 @@ ARRAY_CHARS, ENCODE_BYTES = 1 << 18, 2 << 20
 MEMO_WORDS = 250_000
 _UNKNOWN = -1
 _DEPTH = 16
+#: Slots that hold pairs of pieces with their verdicts, and the odd factor that spreads pairs over them.
+_SLOT_BITS, _SPREAD = 20, np.uint64(0x9E3779B97F4A7C15)
+
+
+class _Numbers(dict):
+    """Numbers keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
 
 
 class PieceModel:
@@ -71,9 +81,12 @@ class PieceModel:
         self._forget()
         self.known = np.zeros(0, np.int64)
         self.verdict = np.zeros(0, bool)
+        # the pair last seen in each slot, and its verdict: most are found there without a search
+        self.slot_code = np.full(1 << _SLOT_BITS, np.iinfo(np.int64).min)
+        self.slot_verdict = np.zeros(1 << _SLOT_BITS, bool)
 
     def _forget(self) -> None:
-        self.memo: dict[str, int] = {}
+        self.memo = _Numbers()
         self.memo_ids, self.memo_counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def _split(self, i: int) -> tuple[str, str] | None:
@@ -117,15 +130,24 @@ class PieceModel:
     def allowed(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """``follows`` of many pairs; verdicts are remembered."""
         code = (before.astype(np.int64) + 2) * (self.size + 1) + ids + 1
+        slot = ((code.view(np.uint64) * _SPREAD) >> np.uint64(64 - _SLOT_BITS)).view(np.int64)
+        said = self.slot_verdict[slot]
+        missed = np.flatnonzero(self.slot_code[slot] != code)
+        if len(missed):
+            said[missed] = self._verdicts(code[missed])
+            self.slot_code[slot[missed]], self.slot_verdict[slot[missed]] = code[missed], said[missed]
+        return said
+
+    def _verdicts(self, code: np.ndarray) -> np.ndarray:
+        """Verdicts of pairs from all that are known, which those that are new join."""
         at = np.searchsorted(self.known, code)
         at[at == len(self.known)] = 0
         fresh = self.known[at] != code if len(self.known) else np.ones(len(code), bool)
         if fresh.any():
             new = np.unique(code[fresh])
             said = np.array([self.follows(int(c) // (self.size + 1) - 2, int(c) % (self.size + 1) - 1) for c in new], bool)
-            both = np.concatenate((self.known, new))
-            order = np.argsort(both, kind="stable")
-            self.known, self.verdict = both[order], np.concatenate((self.verdict, said))[order]
+            places = np.searchsorted(self.known, new)
+            self.known, self.verdict = np.insert(self.known, places, new), np.insert(self.verdict, places, said)
             at = np.searchsorted(self.known, code)
         return self.verdict[at]
 
@@ -219,7 +241,7 @@ class PieceModel:
         for t in texts:
             whole = SPACE + t.replace(" ", SPACE) if t else ""
             units = _WORD.findall(whole) if self.by_word else [whole] * bool(whole)
-            each += [number.setdefault(u, len(number)) for u in units]
+            each += map(number.__getitem__, units)
             units_of.append(len(each))
         ids, counts = self.encode_words(list(islice(number, len(self.memo_counts), None)))
         ids = self.memo_ids = np.concatenate((self.memo_ids, ids))

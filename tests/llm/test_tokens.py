@@ -53,6 +53,23 @@ def test_ids(texts, array_chars, monkeypatch):
     assert [model.decode(i) for i in got] == [library.decode(i) for i in got]
 
 
+def test_known_pairs_are_not_searched():
+    model = pieces.PieceModel(public_tokenizers.path("piece_bpe_32k.model"))
+    first = model.encode(["often"])[0].tolist()
+    assert (model.slot_code >= 0).any()
+    model._verdicts = None  # all pairs of the word are in slots now
+    model._forget()
+    assert model.encode(["often"])[0].tolist() == first
+
+
+def test_verdicts_survive_shared_slots(texts, monkeypatch):
+    monkeypatch.setattr(pieces, "_SLOT_BITS", 3)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    ids, ends = pieces.PieceModel(path).encode(texts)
+    assert [x.tolist() for x in np.split(ids, ends[1:-1])] == [library.encode(t) for t in texts]
+
+
 def test_decoding_a_table(spark, documents_of):
     path = public_tokenizers.path("piece_bpe_32k.model")
     docs = documents_of([(1, "Hello  world\n"), (2, None), (3, "🙂é")])
