@@ -14,6 +14,8 @@ ENGINE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
+    # The JVM never compiles methods of more than 8000 bytes, as parsing and classifying make in whole stages.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

@@ -39,21 +39,26 @@ def start_ingest(
     replaces its own. ``rollups`` names hourly rollups by folder, with their keys: the hours a batch touches are
     made anew in each, after the append, so a retry mends them. ``interval=None`` processes what is there and stops. Every batch adds a file or more to
     the months it touches; ``sinks.compact`` merges them.
+
+    Parsing is part of the stream, so its plan is made once and not for each batch. With ``rejects_path`` the
+    batch's lines themselves are needed, and each batch plans its parsing.
     """
+    by_batch = rejects_path is not None
+    source = lines if by_batch else judged_requests(lines, parser=parser)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        judged = judged_requests(batch, parser=parser).persist(StorageLevel.MEMORY_AND_DISK)
+        judged = (judged_requests(batch, parser=parser) if by_batch else batch).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             good = judged.filter("broken_rule = ''").drop("broken_rule")
             dimension = places(good.select("client_ip").distinct()) if places else None
             hours = append_requests(finish_requests(good, dimension), table_path)
             for path, keys in (rollups or {}).items():
                 stored_rollups.refresh(batch.sparkSession, table_path, path, hours, keys)
-            if rejects_path:
+            if by_batch:
                 refused(batch, judged).write.mode("overwrite").parquet(f"{rejects_path}/batch={batch_id}")
         finally:
             judged.unpersist()
 
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
-    writer = lines.writeStream.foreachBatch(store)
+    writer = source.writeStream.foreachBatch(store)
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()

@@ -81,6 +81,18 @@ def test_retention(spark, requests_of):
     assert sinks.apply_retention(spark, path, as_of="2024-03-30", days=0) == []
 
 
+def test_a_stream_plans_its_parsing_once(spark, lines, monkeypatch):
+    work, planned, judged = shared_dir(spark, "plans"), [], stream_ingest.judged_requests
+    monkeypatch.setattr(stream_ingest, "judged_requests", lambda df, **options: planned.append(1) or judged(df, **options))
+    for _ in range(2):
+        lines.select("value").coalesce(1).write.mode("append").text(f"{work}/landing")
+    source = logs.stream_lines(spark, f"{work}/landing", max_files=1)
+    stream_ingest.start_ingest(source, f"{work}/table", f"{work}/checkpoint", interval=None).awaitTermination()
+    assert len(planned) == 1
+    assert sinks.read_requests(spark, f"{work}/table").count() == lines.select("value").distinct().count()
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+
+
 def test_stream_ingest_resumes_and_keeps_late_rows(spark, lines):
     work = shared_dir(spark, "test-stream")
     landing = f"{work}/landing"
