@@ -76,9 +76,18 @@ class Sample:
     @cached_property
     def plain(self) -> DataFrame:
         """Requests without the two looked-up columns (country, referer)."""
+        return self._requests(self.table("events"))
+
+    @cached_property
+    def spread(self) -> DataFrame:
+        """The rows of ``plain``, dealt to all tasks as narrow events: a small file of them makes many wide requests."""
+        return self._requests(self.table("events").select("event_id", "ts", "user_id", "event_type", "value").repartition("event_id"))
+
+    @staticmethod
+    def _requests(events: DataFrame) -> DataFrame:
         agents = F.array(*(F.lit(a) for a in USER_AGENTS))
         picked = F.element_at(agents, (F.col("id") % len(USER_AGENTS) + 1).cast("int"))
-        rows = self.table("events").selectExpr(*_COLUMNS.strip().split("\n"))
+        rows = events.selectExpr(*_COLUMNS.strip().split("\n"))
         return parse_user_agent(rows.withColumn("user_agent", picked))
 
     @cached_property

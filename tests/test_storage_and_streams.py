@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from hitledger.functions.predicates import Scope, since
 from hitledger.operators import cleaning
+from hitledger.plans import all_queries
 from hitledger.plans.ingest import ingest
 from hitledger.plans.sample import Sample
 from hitledger.schema import REQUEST_SCHEMA
@@ -81,6 +82,18 @@ def test_retention(spark, requests_of):
     assert sinks.apply_retention(spark, path, as_of="2024-03-30", days=0) == []
 
 
+def test_retention_query_reads_events_once(spark, tmp_path, monkeypatch):
+    """Events are dealt to the tasks while narrow, and both copies of a request come from one parsed row."""
+    rows = [(i, i % 3, f"2024-01-{i % 28 + 1:02d} 10:00:00", "click", 1.5) for i in range(56)] + [(0, 0, "2024-01-01 10:00:00", "click", 1.5)]
+    events = spark.createDataFrame(rows, "event_id bigint, user_id bigint, ts string, event_type string, value double")
+    events.withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    plans, append = [], sinks.append_requests
+    monkeypatch.setattr(sinks, "append_requests", lambda df, *a, **k: plans.append(plan_of(df).split("== Physical Plan ==")[1]) or append(df, *a, **k))
+    got = {r["partition_key"]: r["hits"] for r in all_queries.QUERIES["apply_retention"](spark, str(tmp_path)).collect()}
+    assert got == {"2024-01": 36}
+    assert plans[0].count("FileScan") == 1 and plans[0].count("hashpartitioning(event_id") == 1
+
+
 def test_a_stream_plans_its_parsing_once(spark, lines, monkeypatch):
     work, planned, judged = shared_dir(spark, "plans"), [], stream_ingest.judged_requests
     monkeypatch.setattr(stream_ingest, "judged_requests", lambda df, **options: planned.append(1) or judged(df, **options))
