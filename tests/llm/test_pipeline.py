@@ -3,12 +3,14 @@
 from collections import defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from hitledger.llm import decontamination
 from hitledger.llm.queries import language_model
+from hitledger.llm.texts import BATCH_BYTES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -30,6 +32,22 @@ def test_stages_keep_the_columns(spark):
         assert stage(spark, docs, FOLDER).dtypes == docs.dtypes
 
 
+def test_stages_send_bounded_batches(spark):
+    """Ten thousand long texts never meet in one batch."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    long = spark.range(0, 6000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab "), 700).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    for _, stage in corpus_pipeline.STAGES:
+        spark.conf.unset(name)
+        stage(spark, spark.read.parquet(f"{FOLDER}/documents.parquet"), FOLDER)
+        found = [r.n for r in long.mapInArrow(sizes, "n bigint").collect()]
+        assert len(found) > 1 and max(found) <= BATCH_BYTES + (1 << 16)
+
+
 def test_run(spark):
     source = spark.read.parquet(f"{FOLDER}/documents.parquet")
     texts = {r.doc_id: r.text for r in source.collect()}
