@@ -5,29 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitledger.llm.texts import cut
+from hitledger.llm.texts import stored, work_path
+from hitledger.sources.sinks import delete_folders
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); the root is the smallest node of its component.
 
     Rounds of large-star and small-star: every node links its larger, then its smaller neighbours to the
-    smallest one. Only minima are aggregated, no neighbour list is gathered. Ends when a round changes nothing.
+    smallest one. Only minima are aggregated, no neighbour list is gathered. Ends when no node has two smaller
+    neighbours, or a smaller and a larger one. A round's tables go when the next round has its own.
     """
+    spark, folder = edges.sparkSession, work_path(edges.sparkSession, "components")
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    pairs = cut(pairs)
+    pairs, turn = stored(pairs, f"{folder}/pairs-0"), 0
     while True:
-        both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        # each node's largest star is done; nodes without a larger neighbour keep their link
-        large = large.filter("a <> b").distinct()
+        ends = pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
+        smaller = F.col("e.b") < F.col("e.a")
+        counts = [F.count(F.when(smaller, 1)).alias("smaller"), F.count(F.when(~smaller, 1)).alias("larger")]
+        least = ends.groupBy(F.col("e.a").alias("node")).agg(F.least("node", F.min("e.b")).alias("root"), *counts)
+        least = stored(least, f"{folder}/least-{turn}")
+        if not least.agg(F.max(F.expr("smaller > 1 or smaller = 1 and larger > 0"))).first()[0]:
+            delete_folders(spark, [f"{folder}/pairs-{turn}"])
+            return least.select("node", "root")
+        # an edge is one of its smaller node's large star
+        large = pairs.join(least.select(F.col("node").alias("b"), "root"), "b").select("a", F.col("root").alias("b"))
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lowest, "a").select(F.greatest("b", "m").alias("x"), F.least("b", "m").alias("m"), "a")
-        out = small.select(F.col("x").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
-        new = cut(out.filter("a <> b").distinct())
-        if new.count() == pairs.count() and new.join(pairs, ["a", "b"], "left_anti").isEmpty():
-            break
-        pairs = new
-    nodes = pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return nodes.union(pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        small = large.join(lowest, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
+        pairs = stored(small.select("e.*").filter("a <> b").distinct(), f"{folder}/pairs-{turn + 1}")
+        delete_folders(spark, [f"{folder}/pairs-{turn}", f"{folder}/least-{turn}"])
+        turn += 1

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hitledger.llm.components import components
-from hitledger.llm.texts import LOWER, UPPER, cut, slices, wide_hash
+from hitledger.llm.texts import LOWER, UPPER, cut, slices, stored, wide_hash, work_path
+from hitledger.sources.sinks import delete_folders
 
 SHINGLE_WORDS = 4
 MOST_BITS = 4
@@ -109,10 +110,12 @@ def links(nodes: DataFrame, most_bits: int = MOST_BITS, segments: int = 3) -> Da
 
 def near_components(marked: DataFrame, doc_id: str = "doc_id", most_bits: int = MOST_BITS) -> DataFrame:
     """(fp, component_id) of the fingerprints of ``marked`` (doc_id, fp): the smallest id that links reach."""
-    nodes = cut(marked.groupBy("fp").agg(F.min(doc_id).alias("least")))
+    spark, folder = marked.sparkSession, work_path(marked.sparkSession, "near-components")
+    nodes = stored(marked.groupBy("fp").agg(F.min(doc_id).alias("least")), f"{folder}/nodes")
     found = components(links(nodes, most_bits, segments_for(nodes.count())))
     rooted = nodes.join(found, nodes.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = cut(rooted)
+    rooted = stored(rooted, f"{folder}/rooted")
+    delete_folders(spark, [f"{folder}/nodes"])
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return rooted.join(best, "root").select("fp", "component_id", "root")
 

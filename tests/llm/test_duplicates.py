@@ -3,6 +3,7 @@
 import hashlib
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 import xxhash
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from hitledger.llm import line_dedup, sharding, simhash
 from hitledger.llm.components import components
+from hitledger.llm.texts import work_root
 
 
 def key(line):
@@ -160,3 +162,27 @@ def test_hot_key_and_equal_rows_are_split(spark):
         sums[r.shard] += len(r.text)
     assert max(sums.values()) <= 200 and all(sums[r.shard] == r.shard_bytes for r in got)
     assert sharding.directory(sharding.assign(docs, key="k", shard_bytes=200)).agg(F.sum("n_rows")).first()[0] == len(rows)
+
+
+def test_rounds_leave_one_table_and_make_few_tasks(spark):
+    """What a round wrote goes with the round, and its tasks follow its rows, not only the number of partitions."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)], "a bigint, b bigint").cache()
+    edges.count()
+    names = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"]
+    before = [spark.conf.get(n) for n in names]
+    known, tracker = set(Path(work_root(spark)).rglob("part-*")), spark.sparkContext.statusTracker()
+    try:
+        spark.conf.set(names[0], "40")
+        spark.conf.set(names[1], "false")
+        spark.sparkContext.setJobGroup("component-rounds", "")
+        found = components(edges)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for n, value in zip(names, before):
+            spark.conf.set(n, value)
+    stages = {s for j in tracker.getJobIdsForGroup("component-rounds") for s in tracker.getJobInfo(j).stageIds}
+    done = sum(i.numCompletedTasks for i in map(tracker.getStageInfo, stages) if i)
+    left = set(Path(work_root(spark)).rglob("part-*")) - known
+    assert {r.node: r.root for r in found.collect()} == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 140), 100)}
+    assert len({p.parent for p in left}) == 1 and len(left) <= 40
+    assert done < 2000
