@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitledger.llm.texts import stored, work_path
+from hitledger.llm.texts import by_rows, stored, work_path
 from hitledger.sources.sinks import delete_folders
 
 
@@ -25,13 +25,14 @@ def components(edges: DataFrame) -> DataFrame:
         counts = [F.count(F.when(smaller, 1)).alias("smaller"), F.count(F.when(~smaller, 1)).alias("larger")]
         least = ends.groupBy(F.col("e.a").alias("node")).agg(F.least("node", F.min("e.b")).alias("root"), *counts)
         least = stored(least, f"{folder}/least-{turn}")
-        if not least.agg(F.max(F.expr("smaller > 1 or smaller = 1 and larger > 0"))).first()[0]:
+        nodes, unfinished = least.agg(F.count("*"), F.max(F.expr("smaller > 1 or smaller = 1 and larger > 0"))).first()
+        if not unfinished:
             delete_folders(spark, [f"{folder}/pairs-{turn}"])
             return least.select("node", "root")
         # an edge is one of its smaller node's large star
-        large = pairs.join(least.select(F.col("node").alias("b"), "root"), "b").select("a", F.col("root").alias("b"))
+        large = pairs.join(by_rows(least.select(F.col("node").alias("b"), "root"), nodes), "b").select("a", F.col("root").alias("b"))
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lowest, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
+        small = large.join(by_rows(lowest, nodes), "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
         pairs = stored(small.select("e.*").filter("a <> b").distinct(), f"{folder}/pairs-{turn + 1}")
         delete_folders(spark, [f"{folder}/pairs-{turn}", f"{folder}/least-{turn}"])
         turn += 1

@@ -104,7 +104,8 @@ def links(nodes: DataFrame, most_bits: int = MOST_BITS, segments: int = 3) -> Da
         probes = probe if probes is None else probes.union(probe)
         table = entry if table is None else table.union(entry)
     near = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most_bits) & (~F.col("same") | (F.col("a") < F.col("b")))
-    p, t = probes.alias("p"), table.alias("t")
+    # Spark sizes rows by the bytes of files and not by what the explode makes of them: never broadcast
+    p, t = probes.alias("p"), table.hint("merge").alias("t")
     return p.join(t, (F.col("p.s") == F.col("t.s")) & (F.col("p.key") == F.col("t.key")) & near).select("a", "b")
 
 
@@ -113,11 +114,11 @@ def near_components(marked: DataFrame, doc_id: str = "doc_id", most_bits: int =
     spark, folder = marked.sparkSession, work_path(marked.sparkSession, "near-components")
     nodes = stored(marked.groupBy("fp").agg(F.min(doc_id).alias("least")), f"{folder}/nodes")
     found = components(links(nodes, most_bits, segments_for(nodes.count())))
-    rooted = nodes.join(found, nodes.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = nodes.join(found.hint("merge"), nodes.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = stored(rooted, f"{folder}/rooted")
     delete_folders(spark, [f"{folder}/nodes"])
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(best, "root").select("fp", "component_id", "root")
+    return rooted.join(best.hint("merge"), "root").select("fp", "component_id", "root")
 
 
 def cluster(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", most_bits: int = MOST_BITS) -> DataFrame:
@@ -128,7 +129,7 @@ def cluster(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", most
     """
     marked = cut(fingerprints(docs.select(doc_id, text), text, "fp").select(doc_id, "fp"))
     found = near_components(marked, doc_id, most_bits).select("fp", "component_id")
-    return marked.join(found, "fp").select(doc_id, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return marked.join(found.hint("merge"), "fp").select(doc_id, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", most_bits: int = MOST_BITS) -> DataFrame:
@@ -138,7 +139,7 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mos
     marked = cut(fingerprints(narrow, "text", "fp").select("id", "u1", "u2", "fp"))
     roots = near_components(marked, "id", most_bits).select("fp", "root")
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "u1", "u2")).alias("first")
-    best = marked.join(roots, "fp").groupBy("root").agg(first).select("first.u1", "first.u2")
+    best = marked.join(roots.hint("merge"), "fp").groupBy("root").agg(first).select("first.u1", "first.u2")
     packed = docs.select(F.struct("*").alias("row"), *key)
     kept = packed.join(best, ["u1", "u2"], "left_semi").dropDuplicates(["u1", "u2"])
     return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -17,6 +17,8 @@ ASCII_SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Text bytes that one step inside a task handles at once.
 BATCH_BYTES = 4 << 20
+#: Rows of two numbers that a join broadcasts at most.
+FEW_ROWS = 100_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -54,6 +56,14 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_rows(side: DataFrame, rows: int) -> DataFrame:
+    """``side`` of a join, of at most ``rows`` short rows: broadcast if they are few, else merged.
+
+    Spark itself goes by the bytes of files, which say little of rows that compress well or are exploded.
+    """
+    return F.broadcast(side) if rows <= FEW_ROWS else side.hint("merge")
+
+
 def remainder(doc_id: Column, divisor: int) -> Column:
     """crc32 of the id as text, modulo ``divisor``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % divisor

@@ -9,7 +9,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from hitledger.llm import line_dedup, sharding, simhash
+from hitledger.llm import components as components_module
+from hitledger.llm import line_dedup, sharding, simhash, texts
 from hitledger.llm.components import components
 from hitledger.llm.texts import work_root
 
@@ -136,6 +137,29 @@ def test_components_of_a_long_path(spark):
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100}
 
 
+def test_no_table_of_nodes_or_links_is_broadcast(spark, documents_of, prose, monkeypatch):
+    """Spark takes the tables here for small ones, as it does large ones that an explode makes larger."""
+    nodes = spark.range(60).select(F.xxhash64("id").alias("fp"))
+
+    def broadcasts(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Broadcast")
+
+    assert broadcasts(nodes.join(nodes.withColumnRenamed("fp", "b"), F.col("fp") == F.col("b")))
+    assert not broadcasts(simhash.links(nodes))
+    marked = nodes.select(F.monotonically_increasing_id().alias("doc_id"), "fp")
+    assert not broadcasts(simhash.near_components(marked))
+    assert not broadcasts(simhash.cluster(documents_of([(i, prose(i)) for i in range(4)])))
+
+    plans, stored = [], components_module.stored
+    monkeypatch.setattr(components_module, "stored", lambda df, path: plans.append(broadcasts(df)) or stored(df, path))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(12)], "a bigint, b bigint")
+    for few, broadcast in ((0, False), (100, True)):
+        plans.clear()
+        monkeypatch.setattr(texts, "FEW_ROWS", few)
+        assert {(r.node, r.root) for r in components(edges).collect()} == {(i, 0) for i in range(13)}
+        assert any(plans) == broadcast
+
+
 def test_shards_are_the_shortest_that_fit(spark):
     rng = random.Random(3)
     rows = [(i, rng.choice([10, 50, 400])) for i in range(500)] + [(500, 5000)]
