@@ -46,7 +46,7 @@ def present(doc: Column, *keys: str) -> Column:
 
 def text(doc: Column, value: Column, *keys: str) -> Column:
     """Text value; '' when absent or of another type."""
-    plain = ~value.rlike(r"^[-0-9tf\[{]")
+    plain = ~F.substring(value, 1, 1).isin(*"-0123456789tf[{")  # no number, boolean, list or object
     return F.when(plain | quoted(doc, *keys), value).otherwise("")
 
 

@@ -44,10 +44,13 @@ def start_ingest(
     batch's lines themselves are needed, and each batch plans its parsing.
     """
     by_batch = rejects_path is not None
+    several = by_batch or places is not None  # else only the append reads a batch, and keeps it itself
     source = lines if by_batch else judged_requests(lines, parser=parser)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        judged = (judged_requests(batch, parser=parser) if by_batch else batch).persist(StorageLevel.MEMORY_AND_DISK)
+        judged = judged_requests(batch, parser=parser) if by_batch else batch
+        if several:
+            judged = judged.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             good = judged.filter("broken_rule = ''").drop("broken_rule")
             dimension = places(good.select("client_ip").distinct()) if places else None
@@ -57,7 +60,8 @@ def start_ingest(
             if by_batch:
                 refused(batch, judged).write.mode("overwrite").parquet(f"{rejects_path}/batch={batch_id}")
         finally:
-            judged.unpersist()
+            if several:
+                judged.unpersist()
 
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
     writer = source.writeStream.foreachBatch(store)

@@ -106,6 +106,20 @@ def test_a_stream_plans_its_parsing_once(spark, lines, monkeypatch):
     assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
 
 
+def test_a_stream_makes_parsed_columns_in_projections_and_keeps_a_batch_once(spark, lines, monkeypatch):
+    """The generator behind the parsed columns has nothing to evaluate, and a batch that only the append reads is not kept before it."""
+    work, plans, append = shared_dir(spark, "kept"), [], stream_ingest.append_requests
+    monkeypatch.setattr(stream_ingest, "append_requests", lambda df, path: plans.append(plan_of(df).split("== Physical Plan ==")[1]) or append(df, path))
+    lines.select("value").coalesce(1).write.text(f"{work}/landing")
+    source = logs.stream_lines(spark, f"{work}/landing")
+    query = stream_ingest.start_ingest(source, f"{work}/table", f"{work}/checkpoint", interval=None)
+    query.awaitTermination()
+    assert len(plans) == 1 and "InMemoryTableScan" not in plans[0]
+    parsed = plan_of(stream_ingest.judged_requests(logs.read_lines(spark, f"{work}/landing"))).split("== Physical Plan ==")[1]
+    assert "Generate inline(array(_made" in parsed
+    assert sinks.read_requests(spark, f"{work}/table").count() == lines.select("value").distinct().count()
+
+
 def test_stream_ingest_resumes_and_keeps_late_rows(spark, lines):
     work = shared_dir(spark, "test-stream")
     landing = f"{work}/landing"
